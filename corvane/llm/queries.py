@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, urls
-from .common import table
+from . import langid, packing, quality, simhash, urls
+from .common import is_training, table
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -30,8 +31,35 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, rules, lengths).drop("url")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), is_training)
+    scored = quality.score_quality(docs, model, keep=["doc_id"])
+    held_out = (~is_training(F.col("doc_id"))).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(digests, capacity=2048)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_language_model(docs, is_training(F.col("doc_id")))
+    found = langid.identify_language(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter}
+    return {"op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
