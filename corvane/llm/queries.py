@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash, urls
+from . import decontaminate, langid, lines, packing, quality, simhash, urls
 from .common import is_training, table
 
 #: The rules of the URL query.
@@ -20,6 +20,43 @@ URL_RULES = [
 ]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = """
+    WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    lines AS (
+        SELECT doc_id, no, CASE WHEN regexp_matches(trim(x), '[0-9]') THEN regexp_replace(trim(x), '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE trim(x) END AS t
+        FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS no FROM raw)),
+    parsed AS (
+        SELECT doc_id, no, t, concat(length(t) - length(replace(t, ' ', '')), '|', array_to_string(string_split(t, ' ')[1:4], ' ')) AS leaf
+        FROM lines WHERE t <> ''),
+    exact AS (SELECT leaf, t, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc FROM parsed GROUP BY ALL),
+    leaves AS (SELECT leaf FROM exact GROUP BY leaf HAVING sum(n) >= 3 AND count(*) > 1),
+    tokens AS (
+        SELECT leaf, t, n, unnest(string_split(t, ' ')) AS token, generate_subscripts(string_split(t, ' '), 1) AS pos
+        FROM exact SEMI JOIN leaves USING (leaf)),
+    support AS (SELECT leaf, pos, token FROM tokens GROUP BY ALL HAVING sum(n) >= 3),
+    general AS (
+        SELECT leaf, t, concat(leaf, '|', string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY tokens.pos)) AS template
+        FROM tokens LEFT JOIN support s USING (leaf, pos, token) GROUP BY leaf, t
+        HAVING count(s.token) >= 0.8 * count(*)),
+    groups AS (SELECT e.t, coalesce(template, 'line ' || e.t) AS template, n, first_doc FROM exact e LEFT JOIN general g ON e.t = g.t),
+    recurring AS (SELECT template, min(first_doc) AS first_doc FROM groups GROUP BY template HAVING sum(n) >= 3),
+    hits AS (
+        SELECT doc_id, no, doc_id = r.first_doc AND row_number() OVER (PARTITION BY doc_id, template ORDER BY no) = 1 AS stays
+        FROM parsed JOIN groups USING (t) JOIN recurring r USING (template)),
+    kept AS (
+        SELECT doc_id, string_agg(x, chr(10) ORDER BY no) AS text
+        FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS no FROM raw) r
+        ANTI JOIN (SELECT * FROM hits WHERE NOT stays) h USING (doc_id, no) GROUP BY doc_id),
+    dropped AS (SELECT doc_id, count(*) AS n_dropped FROM hits WHERE NOT stays GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+        CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+    FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN dropped USING (doc_id)"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -58,13 +95,40 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+OP7_SQL = r"""
+    WITH doc AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+    windows AS (
+        SELECT DISTINCT item_id, least(8, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i : i + 7], ' '))) AS win
+        FROM item WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    spots AS (
+        SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS win
+        FROM doc, sizes WHERE len(w) >= n),
+    hits AS (SELECT DISTINCT doc_id, s, n, win FROM spots SEMI JOIN windows USING (n, win)),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits JOIN windows USING (n, win)) GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+    FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for verdict, rule in URL_RULES)
     return {
+        "op1_line_dedup": OP1_SQL,
+        "op7_decontaminate": OP7_SQL,
         "op3_url_filter": f"""
             WITH rules(verdict, rh, rp, rule) AS (VALUES {values}),
             split AS (
