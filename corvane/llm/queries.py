@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, quality, simhash, urls
+from . import decontaminate, langid, lines, media, packing, pii, quality, simhash, urls
 from .common import is_training, table
 
 #: The rules of the URL query.
@@ -120,8 +120,25 @@ OP7_SQL = r"""
     FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+#: The key of the query's pseudonyms; a real run passes its own secret to pii.pseudonymize.
+PSEUDONYM_KEY = b"published key of the query"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id", "text"])
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.store_media(table(spark, sf_dir, "documents")))
+    tail = F.substring(F.col("payload"), F.length("payload") - 31, F.lit(32))
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media}
 
 
 def oracle_sql() -> dict[str, str]:
