@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -55,6 +56,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored: it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the DataFrame doesn't have yet."""
     taken = {c.lower() for c in df.columns}

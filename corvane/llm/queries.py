@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, media, packing, pii, quality, simhash, urls
+from . import decontaminate, langid, lines, media, packing, pii, quality, simhash, suffixes, urls
 from .common import is_training, table
 
 #: The rules of the URL query.
@@ -137,8 +137,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), depth=100, keep=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media}
+    return {"op1_line_dedup": op1_line_dedup, "op2_simhash": op2_simhash, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_language_id": op6_language_id, "op7_decontaminate": op7_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
