@@ -27,7 +27,7 @@ def _gram_hashes(words: Column, gram: int) -> Column:
 
 
 def fingerprints(words: Column, span: int) -> Column:
-    """Winnowing: the minimum gram hash of every window of `span` words, each once a run, as (start, fp).
+    """Winnowing: the minimum gram hash of every window of `span` words, once a run of windows, as (start, last, fp).
 
     Grams have GRAM words, or `span` in shorter windows. Equal windows have equal
     minima, so a shared span of that many words is always found.
@@ -35,8 +35,9 @@ def fingerprints(words: Column, span: int) -> Column:
     gram = min(GRAM, span)
     wide = span - gram + 1
     minima = lambda h: F.transform(_starts(F.size(h), wide), lambda i: F.array_min(F.slice(h, i + 1, wide)))
-    runs = lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (x != F.get(m, i - 1)), F.struct(i.alias("start"), x.alias("fp")))), lambda s: s.isNotNull())
-    return let(words, lambda w: let(_gram_hashes(w, gram), lambda h: let(minima(h), runs)))
+    firsts = lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (x != F.get(m, i - 1)), F.struct(i.alias("start"), x.alias("fp")))), lambda s: s.isNotNull())
+    ended = lambda r, n: F.transform(r, lambda x, i: F.struct(x["start"].alias("start"), (F.coalesce(F.get(r, i + 1)["start"], n) - 1).alias("last"), x["fp"].alias("fp")))
+    return let(words, lambda w: let(_gram_hashes(w, gram), lambda h: let(minima(h), lambda m: let(firsts(m), lambda r: ended(r, F.size(m))))))
 
 
 def _window(words: Column, start: Column, span: int) -> Column:
@@ -66,7 +67,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     longest = store(items.withColumn("span", F.least(F.size("words"), F.lit(span))), "items")
     spans = sorted(r[0] for r in longest.select("span").distinct().collect())  # 1 to span
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    rows = rows.select("id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
     found = None
     for n in spans:
         own = longest.filter(F.col("span") == n)
@@ -74,14 +75,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         windows = store(windows, "windows")
         n_windows = windows.count()
         test = own.select(F.explode(fingerprints(F.col("words"), n)).alias("at")).select("at.fp").distinct()
-        marked = rows.select("id", "text_hash", F.explode(fingerprints(F.col("words"), n)).alias("at")).select("id", "text_hash", "at.start", "at.fp")
-        candidates = marked.join(_fit(test, n_windows), "fp", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts"))
+        marked = rows.select("id", "text_hash", F.explode(fingerprints(words_of(F.col("text")), n)).alias("at")).select("id", "text_hash", "at.start", "at.last", "at.fp")
+        candidates = marked.join(_fit(test, n_windows), "fp", "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "last")).alias("runs"))
         candidates = candidates.withColumnsRenamed({"id": "c_id", "text_hash": "c_hash"})
         met = rows.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))).drop("c_id", "c_hash").dropDuplicates(["id", "text_hash"])
-        # A minimum stays for as many windows as there are grams in one.
-        reach = n - min(GRAM, n)
-        spread = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + reach))))
-        tried = let(F.col("words"), lambda w: F.transform(F.filter(spread, lambda i: i + n <= F.size(w)), lambda i: F.struct(i.alias("start"), _window(w, i, n).alias("window"))))
+        spread = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["last"])))
+        tried = let(words_of(F.col("text")), lambda w: F.transform(spread, lambda i: F.struct(i.alias("start"), _window(w, i, n).alias("window"))))
         hits = met.select("id", "text_hash", F.explode(tried).alias("at")).select("id", "text_hash", "at.start", "at.window")
         hits = hits.join(_fit(windows.select("window").distinct(), n_windows), "window", "left_semi")
         part = store(hits.select("id", "text_hash", "start", F.lit(n).alias("n"), "window"), "hits")
