@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,20 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def text_source(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The kept columns, with the text where it is one of them, else as one more; and its place."""
+    if text in keep:
+        return docs.select(*[docs[c] for c in keep]), keep.index(text)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "text_"))), len(keep)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the DataFrame doesn't have yet."""
     taken = {c.lower() for c in df.columns}

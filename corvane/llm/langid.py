@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import parts, text_source
 
 LETTER = re.compile(r"[^\W\d_]")
 #: A sequence of the network is a word, or a piece of this many bytes of a longer one.
 SEQUENCE_BYTES = 24
 #: Words whose result a task keeps; beyond it the memory starts anew, with the same results.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def sequences(text: str) -> list[bytes]:
@@ -162,7 +162,7 @@ def training_pairs(docs: DataFrame, learn: Column, id_col: str, text: str, lang:
     chosen = rows.filter(draw < below[F.col(lang)]).select(draw.alias("draw"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             seqs, langs = [], []
             for draw, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = sequences(text)
@@ -188,33 +188,31 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text: str =
     model, gets `und` and score 0. Ties go to the first language by name.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "text_")))
+    source, at = text_source(docs, keep, text)
     schema = docs.select(*[docs[c] for c in keep], F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = {}
         evidence = np.empty((0, len(model.languages) if model else 0))
-        for batch in batches:
+        for batch in parts(batches, 256):
             langs, scores = [], []
-            texts = batch.columns[-1].to_pylist()
-            for at in range(0, len(texts), 256):
-                own = [sequences(t) if model and t and LETTER.search(t) else [] for t in texts[at : at + 256]]
-                new = list({w for words in own for w in words} - place.keys())
-                if len(place) + len(new) > KEPT_WORDS:
-                    place, evidence = {}, evidence[:0]
-                    new = list({w for words in own for w in words})
-                if new:
-                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                    evidence = np.concatenate([evidence, model.log_probabilities(new)])
-                for words in own:
-                    if not words:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = evidence[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                    e = np.exp(total - total.max())
-                    langs.append(model.languages[int(total.argmax())])
-                    scores.append(float(e.max() / e.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            own = [sequences(t) if model and t and LETTER.search(t) else [] for t in batch.column(at).to_pylist()]
+            new = list({w for words in own for w in words} - place.keys())
+            if len(place) + len(new) > KEPT_WORDS:
+                place, evidence = {}, evidence[:0]
+                new = list({w for words in own for w in words})
+            if new:
+                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                evidence = np.concatenate([evidence, model.log_probabilities(new)])
+            for words in own:
+                if not words:
+                    langs.append("und")
+                    scores.append(0.0)
+                    continue
+                total = evidence[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                e = np.exp(total - total.max())
+                langs.append(model.languages[int(total.argmax())])
+                scores.append(float(e.max() / e.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, free_name, parallel
+from .common import Stored, parallel, parts, text_source
 from .components import connected_components
 
 SEED = 42
@@ -43,13 +43,13 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = SEED) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", words_each: int = 3, out: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """Adds the fingerprint as a long (the 64 bits, two's complement); keep: columns that stay."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "text_")))
+    source, at = text_source(docs, keep, text)
     schema = docs.select(*[docs[c] for c in keep], F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t, words_each) for t in batch.columns[-1].to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], [*keep, out])
+        for batch in parts(batches):
+            fps = np.fromiter((fingerprint(t, words_each) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps.view(np.int64))], [*keep, out])
 
     return source.mapInArrow(run, schema)
 
@@ -138,10 +138,10 @@ def _masks(radius: int) -> list[int]:
     radius + 1 parts: one of these agrees as well.
     """
     bits = list(range(64))
-    parts = lambda x, n: [x[i * len(x) // n : (i + 1) * len(x) // n] for i in range(n)]
+    cut = lambda x, n: [x[i * len(x) // n : (i + 1) * len(x) // n] for i in range(n)]
     masks = []
-    for block in parts(bits, radius + 1):
-        for part in parts([b for b in bits if b not in block], radius + 1):
+    for block in cut(bits, radius + 1):
+        for part in cut([b for b in bits if b not in block], radius + 1):
             masks.append(sum(1 << b for b in block + part))
     return masks
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, parallel, reclaim, store
+from .common import free_name, parallel, parts, reclaim, store
 
 GRAM = 32
 #: Bytes that multikey quicksort orders, eight at a time, before blind tries take over.
@@ -177,17 +177,11 @@ def _batch_runs(batch: pa.RecordBatch, depth: int):
     return tuple(map(np.concatenate, (row, start, end, hashes, digests))), texts
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _tally(depth: int):
     """(hash, runs, least and greatest digest, shortened) of every anchor of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in parts(batches, 2048):
             found, _ = _batch_runs(batch, depth)
             if found is None:
                 continue
@@ -227,7 +221,7 @@ def _candidates(depth: int, repeated, various):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in parts(batches, 2048):
             found, texts = _batch_runs(batch, depth)
             if found is None:
                 continue
@@ -275,7 +269,7 @@ def _single_windows(depth: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in parts(batches, 2048):
             keys, ids, at, n, data = [], [], [], [], []
             for h, i, a, count, bytes_, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not hot:
@@ -344,20 +338,20 @@ def repeated_windows(rows: DataFrame, depth: int) -> DataFrame:
     as a whole. The first of every kind of run then meets the others of its anchor window by
     window, in deep-shallow order. Runs of anchors with more than HOT kinds are dealt by window.
     """
-    spark, parts = rows.sparkSession, parallel(rows)
+    spark, n_parts = rows.sparkSession, parallel(rows)
     tallied = rows.mapInArrow(_tally(depth), "h long, n int, low int, high int")
     tally = tallied.groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     tally = store(tally.filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("various")), "anchors")
     repeated = spark.sparkContext.broadcast(_filter(tally))
     various = spark.sparkContext.broadcast(_filter(tally.filter("various")))
     reclaim(spark)
-    dealt = rows.mapInArrow(_candidates(depth, repeated, various), RUN_SCHEMA).repartition(parts, "h", "digest")
+    dealt = rows.mapInArrow(_candidates(depth, repeated, various), RUN_SCHEMA).repartition(n_parts, "h", "digest")
     runs_ = store(dealt.sortWithinPartitions("h", "digest", "id", "at").mapInArrow(_classify, RUN_SCHEMA), "runs")
     reclaim(spark)
     kinds = runs_.filter("not done").select("h", "id", "at", "n", "run")
     counts = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h", (F.col("kinds") > HOT).alias("hot"))
     keyed = kinds.join(counts, "h").select("h", "id", "at", "n", "run", "hot").mapInArrow(_single_windows(depth), "key long, id long, at long, n int, run binary")
-    sorted_ = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    sorted_ = keyed.repartition(n_parts, "key").sortWithinPartitions("key")
     windows = store(sorted_.mapInArrow(_later_windows(depth), "id long, at long, n int"), "windows")
     reclaim(spark)
     found = runs_.filter("done").select("id", "at", "n").unionByName(windows)
@@ -392,21 +386,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 1024):
+        for batch in parts(batches):
             sizes, merged, left = [], [], []
             for t, own in zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist(), strict=True):
-                data, joined, parts, at = _bytes(t), [], [], 0
+                data, joined, pieces, at = _bytes(t), [], [], 0
                 for s in own or ():
                     if joined and s["start"] <= joined[-1][1]:
                         joined[-1][1] = max(joined[-1][1], s["end"])
                     else:
                         joined.append([s["start"], s["end"]])
                 for start, end in joined:
-                    parts.append(data[at:start])
+                    pieces.append(data[at:start])
                     at = end
                 sizes.append(len(data))
                 merged.append(joined)
-                left.append(b"".join([*parts, data[at:]]))
+                left.append(b"".join([*pieces, data[at:]]))
             removed = [sum(b - a for a, b in spans) for spans in merged]
             listed = pa.array([[{"start": a, "end": b} for a, b in spans] for spans in merged], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, merged), pa.int64()), listed, pa.array(left, pa.binary())], [*keep, *new])
