@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import parts, text_source
 
 BUCKETS = 256
 SYMBOLS = re.compile(rb"[!-/:-@\[-`{-~]")
@@ -54,7 +54,7 @@ def features(text: str | None, buckets: dict[bytes, int]) -> np.ndarray:
 
 
 def feature_matrix(texts: list[str | None], buckets: dict[bytes, int]) -> np.ndarray:
-    if len(buckets) > 300_000:
+    if len(buckets) > 150_000:
         buckets.clear()
     return np.stack([features(t, buckets) for t in texts]) if texts else np.zeros((0, DENSE + BUCKETS), np.float32)
 
@@ -108,7 +108,7 @@ class BradleyTerry:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality", docs_each: int = 3000) -> BradleyTerry | None:
     """Learns from about docs_each documents of each label (chosen by hashed id); None without labels.
 
-    Only features of the chosen documents reach the driver. A document with several labels
+    The chosen ids and labels, about 2 x docs_each rows, are broadcast to the documents. Only features of the chosen documents reach the driver. A document with several labels
     takes their majority, 1 on a tie; null labels are ignored.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).dropna().groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
@@ -119,11 +119,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     draw = F.xxhash64(F.lit("quality"), F.col("id")).bitwiseAND(F.lit((1 << 30) - 1))
     below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, docs_each / n) * (1 << 30)))])
     chosen = own.filter(draw < below[F.col("label")])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in parts(batches):
             x = feature_matrix(batch.column(1).to_pylist(), buckets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
@@ -141,15 +141,13 @@ def score_quality(docs: DataFrame, model: BradleyTerry | None, text: str = "text
     clashing column `score` is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "text_")))
+    source, at = text_source(docs, keep, text)
     schema = docs.select(*[docs[c] for c in keep], F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[bytes, int] = {}
-        for batch in batches:
-            texts, scores = batch.columns[-1].to_pylist(), np.full(batch.num_rows, 0.5)
-            for at in range(0, len(texts) if model else 0, 512):
-                scores[at : at + 512] = model.score(feature_matrix(texts[at : at + 512], buckets))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*keep, "score"])
+        for batch in parts(batches):
+            scores = model.score(feature_matrix(batch.column(at).to_pylist(), buckets)) if model else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores.astype(float))], [*keep, "score"])
 
     return source.mapInArrow(run, schema)
