@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,37 +13,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, store
+from .common import free_name, parts, store
 
-#: Chunks whose ids a task keeps; beyond it the memory starts anew, with the same results.
-KEPT_CHUNKS = 300_000
+#: Chunks, and words in chunks, whose ids a task keeps in each of two generations; results don't depend on it.
+KEPT_CHUNKS, KEPT_WORDS = 150_000, 250_000
+#: The tokenizer's own words within a chunk, as its pre-tokenizer has them.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+
+ENDS = frozenset(".,;:!?")
+#: Bytes as the letters that the model's vocabulary is written in: printable ones stand for themselves, others follow from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+class Generations:
+    """A bounded memory: when the younger half is full it becomes the older one, from which what is used again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def known(self, keys) -> list:
+        """Brings back what the older half has; returns the keys that neither has."""
+        young, old, new = self.young, self.old, []
+        for key in keys:
+            if key in old:
+                young[key] = old[key]
+            else:
+                new.append(key)
+        return new
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, by the ids of their chunks between spaces and line feeds.
+    """Ids of whole texts, by the ids of their chunks between spaces and line feeds, and of the words in these.
 
-    Right for tokenizers whose normalizer and pre-tokenizer never look across white space and
-    drop it; a chunk seen before isn't tokenized again.
+    Right for a byte-level tokenizer that composes (NFC), lower-cases and cuts at WORD, drops
+    white space and encodes each word by itself. Chunks that Python would compose or lower-case
+    otherwise, or that may hold special tokens, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words_of = Tokenizer.from_file(path), regex.compile(WORD).findall
+        self.model = self.tokenizer.model
+        self.chunks, self.words = Generations(KEPT_CHUNKS), Generations(KEPT_WORDS)
+
+    def _words(self, chunk: str) -> tuple[str, ...] | list[str] | None:
+        """The lower-case words of a chunk; None if it must be encoded whole."""
+        if not chunk.isascii() and ("\u03a3" in chunk or not unicodedata.is_normalized("NFC", chunk)) or "<|" in chunk:
+            return None
+        low = chunk.lower()
+        if low.isalpha():
+            return (low,)
+        if low[-1:] in ENDS and low[:-1].isalpha():
+            return low[:-1], low[-1]
+        return self.words_of(low)
+
+    def _learn(self, chunks: set[str]) -> None:
+        young, words, cut, new, whole = self.chunks.young, self.words.young, [], set(), set()
+        for chunk in self.chunks.known(chunks):
+            own = self._words(chunk)
+            if own is None:
+                own = (chunk,)
+                whole.add(chunk)
+            cut.append((chunk, own))
+            new.update(own)
+        new = self.words.known(new.difference(words))
+        for word in new:
+            if word in whole:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            else:
+                letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [t.id for t in self.model.tokenize(letters)]
+            words[word] = np.array(ids, "<u4").tobytes()
+        for chunk, own in cut:
+            young[chunk] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        self.words.turn()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({c for own in chunks for c in own} - self.known.keys())
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known = {}
-            new = list({c for own in chunks for c in own})
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) for own in chunks]
+        get, found, missing = self.chunks.young.get, [], []
+        for text in texts:
+            chunks = text.replace("\n", " ").split(" ") if text else []
+            own = list(map(get, chunks))
+            if None in own:
+                missing += [(own, i, chunks[i]) for i, x in enumerate(own) if x is None]
+            found.append(own)
+        self._learn({chunk for _, _, chunk in missing})
+        for own, i, chunk in missing:
+            own[i] = get(chunk)
+        self.chunks.turn()
+        return list(map(b"".join, found))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,21 +123,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, step = ChunkTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                row, piece, ids = [], [], []
-                for i, own in enumerate(tokenizer.ids(part.column(1).to_pylist())):
-                    own += end
-                    cut = [own[k : k + step] for k in range(0, len(own), step)]
-                    ids += cut
-                    row += [i] * len(cut)
-                    piece += range(len(cut))
-                pieces = np.array(piece, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(pieces, pa.int32()), pa.array(pieces * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    [id_col, "piece", "start", "length", "ids"],
-                )
+        for part in parts(batches, 128):
+            row, piece, ids = [], [], []
+            for i, own in enumerate(tokenizer.ids(part.column(1).to_pylist())):
+                own += end
+                cut = [own[k : k + step] for k in range(0, len(own), step)]
+                ids += cut
+                row += [i] * len(cut)
+                piece += range(len(cut))
+            pieces = np.array(piece, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row, pa.int64())), pa.array(pieces, pa.int32()), pa.array(pieces * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [id_col, "piece", "start", "length", "ids"],
+            )
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
 
