@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,42 +13,45 @@ from pyspark.sql import functions as F
 from . import webp
 
 ROW_BYTES = 576
-WIDTH = ROW_BYTES // 4
+MOST_ROWS = webp.MAX_SIDE
+OPAQUE = np.uint32(webp.OPAQUE)
 
 
 def payload_of(text: str | None) -> bytes:
     """The UTF-8 bytes, padded by 255 to a positive multiple of ROW_BYTES."""
-    data = text.encode("utf-8", "replace") if text else b""
+    return padded(text.encode("utf-8", "replace") if text else b"")
+
+
+def padded(data: bytes) -> bytes:
     return data.ljust(max(1, -(-len(data) // ROW_BYTES)) * ROW_BYTES, b"\xff")
 
 
 def to_files(payload: bytes) -> bytes:
-    """Lossless files, one after the other, of WIDTH x at most 16384 ARGB pixels; four bytes make a pixel.
+    """Lossless files, one after the other, of up to MOST_ROWS rows of ROW_BYTES pixels; a byte is a pixel's green sample.
 
-    A payload in which few pixels are different is written with back-references.
+    A payload that repeats itself a lot is written with back-references.
     """
-    pixels = np.frombuffer(payload, "<u4").reshape(-1, WIDTH)
-    repeats = 4 * len(np.unique(pixels)) <= pixels.size
-    return b"".join(webp.encode(pixels[at : at + webp.MAX_SIDE], references=repeats) for at in range(0, len(pixels), webp.MAX_SIDE))
+    pixels = (np.frombuffer(payload, np.uint8).astype(np.uint32) << np.uint32(8) | OPAQUE).reshape(-1, ROW_BYTES)
+    repeats = 8 * len(zlib.compress(payload, 1)) < len(payload)
+    return b"".join(webp.encode(pixels[at : at + MOST_ROWS], references=repeats) for at in range(0, len(pixels), MOST_ROWS))
 
 
 def from_files(media: bytes) -> np.ndarray:
-    """The pixels of all files of a column value, (rows x WIDTH)."""
+    """The green samples of all files of a column value, (rows x ROW_BYTES) bytes."""
     at, parts = 0, []
     while at < len(media):
         pixels, size = webp.decode(media[at:] if at else media)
-        parts.append(pixels)
+        parts.append((pixels >> np.uint32(8)).astype(np.uint8))
         at += size
-    return np.concatenate(parts)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def describe(pixels: np.ndarray) -> str:
-    """Mean and deviation of the four channels, then the entropy of all samples in bits."""
-    samples = pixels.astype("<u4").view(np.uint8)
-    channels = samples.reshape(-1, 4)
-    share = np.bincount(samples.ravel(), minlength=256) / samples.size
-    share = share[share > 0]
-    numbers = [*channels.mean(axis=0), *channels.std(axis=0), -(share * np.log2(share)).sum()]
+def describe(samples: np.ndarray) -> str:
+    """Mean, deviation and entropy (bits) of the samples, then the shares of eight equal classes."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    share, level = counts / samples.size, np.arange(256)
+    mean, some = float(share @ level), share[share > 0]
+    numbers = [mean, float(np.sqrt(share @ (level - mean) ** 2)), float(-(some @ np.log2(some))), *share.reshape(8, 32).sum(axis=1).tolist()]
     return ",".join(f"{x:.4f}" for x in numbers)
 
 
@@ -59,9 +63,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                sizes = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
-                media = [to_files(payload_of(t)) for t in texts]
+                data = [t.encode("utf-8", "replace") if t else b"" for t in part.column(1).to_pylist()]
+                sizes, media = list(map(len, data)), [to_files(padded(x)) for x in data]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     return source.mapInArrow(run, docs.select(docs[id_col], F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema)
@@ -77,7 +80,7 @@ def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 pixels = [from_files(m) for m in part.column(at).to_pylist()]
-                payloads = pa.array([p.astype("<u4").tobytes() for p in pixels], pa.binary())
+                payloads = pa.array([p.tobytes() for p in pixels], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, payloads, pa.array(map(describe, pixels), pa.string())], [*names, "payload", "feature"])
 
     return stored.mapInArrow(run, schema)

@@ -59,25 +59,30 @@ def _codes(lengths: tuple[int, ...]) -> list[tuple[int, int, int]]:
     return found
 
 
-def _table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
-    return _table_of(lengths if any(lengths[256:]) else lengths[:256])  # literals only: as for the other channels
+class _Code:
+    """symbol << 4 | length for every value of the next bits, and their mask; a lone symbol takes no bits."""
 
+    def __init__(self, lengths: tuple[int, ...]):
+        found = _codes(lengths)
+        if not found:
+            raise ValueError("a prefix code without symbols is not allowed")
+        self.literal = not any(lengths[256:])
+        if len(found) == 1:
+            self.table, self.mask = np.array([found[0][0] << 4], np.uint16), 0
+            return
+        if sum(1 << (15 - n) for _, n, _ in found) != 1 << 15:
+            raise ValueError("a prefix code that is not complete")
+        width = max(n for _, n, _ in found)
+        self.table, self.mask = np.zeros(1 << width, np.uint16), (1 << width) - 1
+        for symbol, n, bits in found:
+            self.table[bits :: 1 << n] = symbol << 4 | n
+
+    @functools.cached_property
+    def listed(self) -> list[int]:
+        return self.table.tolist()
 
-@functools.lru_cache(maxsize=64)
-def _table_of(lengths: tuple[int, ...]) -> tuple[list[int], int]:
-    """symbol << 4 | length for every value of the next bits, and their mask; a lone symbol takes no bits."""
-    found = _codes(lengths)
-    if not found:
-        raise ValueError("a prefix code without symbols")
-    if len(found) == 1:
-        return [found[0][0] << 4], 0
-    if sum(1 << (15 - n) for _, n, _ in found) != 1 << 15:
-        raise ValueError("a prefix code that isn't complete")
-    width = max(n for _, n, _ in found)
-    table = np.zeros(1 << width, np.int64)
-    for symbol, n, bits in found:
-        table[bits :: 1 << n] = symbol << 4 | n
-    return table.tolist(), (1 << width) - 1
+
+_code_of = functools.lru_cache(maxsize=64)(_Code)
 
 
 class _Reader:
@@ -99,32 +104,32 @@ class _Reader:
         self.n -= n
         return value
 
-    def symbol(self, table: tuple[list[int], int]) -> int:
+    def symbol(self, code: _Code) -> int:
         if self.n < 15:
             self.fill()
-        entry = table[0][self.bits & table[1]]
+        entry = code.listed[self.bits & code.mask]
         self.bits >>= entry & 15
         self.n -= entry & 15
         return entry >> 4
 
 
-def _read_code(r: _Reader, size: int) -> tuple[list[int], int]:
+def _read_code(r: _Reader, size: int) -> _Code:
     lengths = [0] * size
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         lengths[r.read(8 if wide else 1)] = 1
         if two:
             lengths[r.read(8)] = 1
-        return _table(tuple(lengths))
+        return _code_of(tuple(lengths))
     own = [0] * 19
     for k in LENGTH_ORDER[: 4 + r.read(4)]:
         own[k] = r.read(3)
-    table = _table(tuple(own))
+    code = _code_of(tuple(own))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
     at, last = 0, 8
     while at < size and left:
         left -= 1
-        s = r.symbol(table)
+        s = r.symbol(code)
         if s < 16:
             lengths[at] = s
             at, last = at + 1, s or last
@@ -134,7 +139,7 @@ def _read_code(r: _Reader, size: int) -> tuple[list[int], int]:
                 raise ValueError("code lengths beyond the alphabet")
             lengths[at : at + n] = [last if s == 16 else 0] * n
             at += n
-    return _table(tuple(lengths))
+    return _code_of(tuple(lengths))
 
 
 # Decoding
@@ -147,18 +152,16 @@ def _value(r: _Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.read(extra) + 1
 
 
-def _read_plain(r: _Reader, table: tuple[list[int], int], n: int) -> np.ndarray:
-    """n symbols of one code, the entries of all bit positions looked up at once."""
-    entries, mask = np.array(table[0], np.uint16), np.uint64(table[1])
-    if not mask:
-        return np.full(n, entries[0] >> 4, np.uint8)
-    left = r.data[r.at - r.n // 8 - 1 if r.n % 8 else r.at - r.n // 8 :]
-    skip = -r.n % 8
-    symbols, at = [], skip
+def _read_plain(r: _Reader, code: _Code, n: int) -> np.ndarray:
+    """n symbols of one code that end the stream, the entries of all bit positions looked up at once."""
+    if not code.mask:
+        return np.full(n, code.table[0] >> 4, np.uint8)
+    left = r.data[max(0, r.at - -(-r.n // 8)) :]
+    symbols, at, mask = [], -r.n % 8, np.uint64(code.mask)
     for begin in range(0, len(left), 1 << 16):  # blocks, to bound the memory
         block = np.frombuffer(left[begin : begin + (1 << 16) + 8].ljust(min(1 << 16, len(left) - begin) + 8, b"\0"), np.uint8).astype(np.uint64)
         three = block[:-8] | block[1:-7] << np.uint64(8) | block[2:-6] << np.uint64(16)
-        found = entries[((three[:, None] >> np.arange(8, dtype=np.uint64)) & mask).ravel()]
+        found = code.table[((three[:, None] >> np.arange(8, dtype=np.uint64)) & mask).ravel()]
         step, places = (found & 15).astype(np.uint8).tobytes(), []
         put, end = places.append, len(step)
         while at < end:
@@ -187,10 +190,11 @@ def _read_image(r: _Reader, width: int, height: int, top: bool) -> list[int] | n
     groups = []
     for _ in range(max(group_of) + 1 if group_of else 1):
         groups.append([_read_code(r, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)])
-    (green, gm), (red, rm), (blue, bm), (alpha, am), distance = groups[0]
-    if top and not group_of and green is red is blue is alpha:  # one code, of literals only, ends the stream
-        quads = _read_plain(r, groups[0][0], 4 * width * height).reshape(-1, 4)
-        return np.ascontiguousarray(quads[:, [2, 0, 1, 3]]).view("<u4").ravel()
+    if top and not group_of and groups[0][0].literal and not any(c.mask for c in groups[0][1:4]):  # green alone varies
+        red, blue, alpha = (int(c.table[0]) >> 4 for c in groups[0][1:4])
+        return _read_plain(r, groups[0][0], width * height).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    opened = [(*((c.listed, c.mask) for c in g[:4]), g[4]) for g in groups]
+    (green, gm), (red, rm), (blue, bm), (alpha, am), distance = opened[0]
     cache, shift = [0] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
     total, out = width * height, []
     put = out.append
@@ -198,7 +202,7 @@ def _read_image(r: _Reader, width: int, height: int, top: bool) -> list[int] | n
     bits, n = r.bits, r.n
     while done < total:
         if group_of:
-            (green, gm), (red, rm), (blue, bm), (alpha, am), distance = groups[group_of[(done // width >> block) * across + (done % width >> block)]]
+            (green, gm), (red, rm), (blue, bm), (alpha, am), distance = opened[group_of[(done // width >> block) * across + (done % width >> block)]]
         if n < 60:
             r.bits, r.n = bits, n
             r.fill()
@@ -229,8 +233,11 @@ def _read_image(r: _Reader, width: int, height: int, top: bool) -> list[int] | n
             bits, n = r.bits, r.n
             if back > done or done + length > total:
                 raise ValueError("a back-reference beyond the image")
-            for k in range(done - back, done - back + length):
-                put(out[k])
+            if length <= back:
+                out += out[done - back : done - back + length]
+            else:
+                for k in range(done - back, done - back + length):
+                    put(out[k])
             done += length
         else:
             n -= size
@@ -469,20 +476,20 @@ def _back_references(pixels: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _write_literals(w: _Writer, pixels: np.ndarray) -> bytes:
-    """Codes and pixels without references, whole arrays at a time; ends the stream. All channels share a code."""
+    """Codes and pixels without references, whole arrays at a time; ends the stream."""
     channels = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
-    lengths = code_lengths(np.bincount(channels.ravel(), minlength=256).tolist(), 12)
-    for size in (280, 256, 256, 256):
-        _write_code(w, lengths + [0] * (size - 256))
-    _write_code(w, [])
-    code, size = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
-    if sum(map(bool, lengths)) > 1:
-        for s, n, bits in _codes(tuple(lengths)):
-            code[s], size[s] = bits, n
     value, width = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.uint64)
     for k in (1, 2, 0, 3):  # green, red, blue, alpha
-        value |= code[channels[:, k]] << width
-        width += size[channels[:, k]]
+        own = channels[:, k]
+        lengths = code_lengths(np.bincount(own, minlength=256).tolist(), 12)
+        _write_code(w, lengths + [0] * (24 if k == 1 else 0))
+        if sum(map(bool, lengths)) > 1:
+            code, size = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
+            for s, n, bits in _codes(tuple(lengths)):
+                code[s], size[s] = bits, n
+            value |= code[own] << width
+            width += size[own]
+    _write_code(w, [])
     begin = np.uint64(w.n) + np.cumsum(width) - width
     word, shift = (begin >> np.uint64(6)).astype(np.int64), begin & np.uint64(63)
     out = np.zeros(int(begin[-1] + width[-1]) // 64 + 2, np.uint64)
