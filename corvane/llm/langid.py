@@ -18,7 +18,7 @@ LETTER = re.compile(r"[^\W\d_]")
 #: A sequence of the network is a word, or a piece of this many bytes of a longer one.
 SEQUENCE_BYTES = 24
 #: Words whose result a task keeps; beyond it the memory starts anew, with the same results.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
 
 
 def sequences(text: str) -> list[bytes]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import free_name, parts, store
 
 #: Chunks, and words in chunks, whose ids a task keeps in each of two generations; results don't depend on it.
-KEPT_CHUNKS, KEPT_WORDS = 150_000, 250_000
+KEPT_CHUNKS, KEPT_WORDS = 60_000, 100_000
 #: The tokenizer's own words within a chunk, as its pre-tokenizer has them.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 

@@ -54,7 +54,7 @@ def features(text: str | None, buckets: dict[bytes, int]) -> np.ndarray:
 
 
 def feature_matrix(texts: list[str | None], buckets: dict[bytes, int]) -> np.ndarray:
-    if len(buckets) > 150_000:
+    if len(buckets) > 60_000:
         buckets.clear()
     return np.stack([features(t, buckets) for t in texts]) if texts else np.zeros((0, DENSE + BUCKETS), np.float32)
 
