@@ -81,3 +81,27 @@ def test_near_duplicate_groups(spark):
     found = {r.id: r.component_id for r in neardup.near_duplicate_groups(frame(spark, rows)).collect()}
     assert found.keys() == sets.keys()
     assert found == roots
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(4)
+    common = np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
+    for n in [*range(1, 60), 200, 1000]:
+        own = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64), rng.choice(common, n // 3)]))
+        other = np.sort(np.concatenate([own[rng.permutation(len(own))[: -(-8 * len(own) // 10)]], rng.integers(0, 1 << 63, n).astype(np.uint64)]))
+        while len(other) and len(np.intersect1d(own, other)) < 0.8 * len(np.union1d(own, other)):
+            strange = np.setdiff1d(other, own)
+            other = other[other != strange[0]]
+        a, b = (set(neardup.prefix_keys(x, 0.8, common).tolist()) for x in (own, other))
+        assert a & b, n
+    assert len(neardup.prefix_keys(np.empty(0, np.uint64), 0.8, common)) == 0
+
+
+def test_near_duplicates_among_short_texts(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{rng.integers(0, 10**9)}" for _ in range(11 + k // 3)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]  # six of seven shingles and more
+    found = {r.id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(120)}
