@@ -105,3 +105,27 @@ def test_near_duplicates_among_short_texts(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]  # six of seven shingles and more
     found = {r.id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: i - i % 2 for i in range(120)}
+
+
+def mutual_copies(seed):
+    """Groups of 100 copies of a text that is not in the table."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for n, least, most in ((400, 4, 6), (100, 1, 2), (200, 2, 3)):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        for _ in range(100):
+            own = list(words)
+            for _ in range(rng.randint(least, most)):
+                own[rng.randrange(n)] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_mutual_copies_without_an_original(spark):
+    rows = mutual_copies(1)
+    sets = {i: frozenset(neardup.shingles(t, 5).tolist()) for i, t in rows}
+    roots = roots_of(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    found = {r.id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == roots
+    assert 3 <= len(set(roots.values())) < 150
