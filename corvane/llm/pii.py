@@ -29,6 +29,7 @@ PATTERNS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
 )
+ONE = dict(PATTERNS)
 PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 
 
@@ -45,6 +46,14 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+def readings(kind: str, text: str) -> list[tuple[int, int]]:
+    """The spans of shorter cards or IBANs in a match that failed its check, the longest first: cards start and end at separators, IBANs end at one."""
+    cuts = [m.start() for m in re.finditer("[ -]" if kind == "card" else " ", text)]
+    starts = [0, *(c + 1 for c in cuts)] if kind == "card" else [0]
+    found = [(a, b) for a in starts for b in [*cuts, len(text)] if b - a < len(text) and re.fullmatch(ONE[kind], text[a:b])]
+    return sorted(found, key=lambda x: (-sum(c.isalnum() for c in text[x[0] : x[1]]), x))
+
+
 class Pseudonyms:
     """Keyed permutations within formats; the same value always gets the same pseudonym."""
 
@@ -163,8 +172,14 @@ class Pseudonyms:
             kind = "secret" if match["secret"] else kind
             start, end = match.span("secret_value" if kind == "secret" else kind)
             new = self.of(kind, text[start:end])
+            if new is None and kind in ("card", "iban"):
+                for a, b in readings(kind, text[start:end]):
+                    if new := self.of(kind, text[start + a : start + b]):
+                        start, end = start + a, start + b
+                        break
             if new is None:
-                at = start + 1 if kind == "iban" else end
+                # A number may start within another that failed.
+                at = start + 1 if kind == "iban" else start + re.search("[ -]|$", match[0]).end() if kind == "card" else end
                 continue
             out += [text[done:start], new]
             spans.append((kind, start, end))

@@ -172,6 +172,21 @@ def test_pseudonyms():
     assert p.text("")[0] == ""
 
 
+def test_numbers_next_to_numbers():
+    p = pii.Pseudonyms(b"key")
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    for kind, value, before, after in [
+        ("card", "4111111111111111", "", " 12/27"), ("card", card, "", " 123"), ("card", card, "5 ", ""), ("card", card, "12 ", " 12/27"), ("card", card, "77777777 7171 ", ""),
+        ("card", "4111-1111-1111-1111", "7 ", " 123"), ("iban", iban, "", " EUR"), ("iban", iban, "", " EURO NOW"), ("iban", "GB82 WEST 1234 5698 7654 32", "", ""),
+    ]:
+        text, spans = p.text(f"x {before}{value}{after} y")
+        assert spans == [(kind, 2 + len(before), 2 + len(before) + len(value))], (before, value, after)
+        assert text == f"x {before}{p.of(kind, value)}{after} y"
+    for text in ("4111111111111112", "4111 1111 1111 1112", "BE68 5390 0754 7035 EUR"):
+        assert p.text(text) == (text, [])
+    assert [k for k, *_ in p.text("5 4111 1111 1111 1111 4111 1111 1111 1111 9")[1]] == ["card", "card"]
+
+
 def test_permutation():
     p = pii.Pseudonyms(b"key")
     for size in (2, 10, 97, 1000):
