@@ -15,30 +15,40 @@ from pyspark.sql import functions as F
 from .common import parts, text_source
 
 LETTER = re.compile(r"[^\W\d_]")
-#: A sequence of the network is a word, or a piece of this many bytes of a longer one.
-SEQUENCE_BYTES = 24
-#: Words whose result a task keeps; beyond it the memory starts anew, with the same results.
-KEPT_WORDS = 60_000
+#: A text is read in segments of SEGMENT bytes, each with up to MARGIN bytes of its neighbours on either side.
+SEGMENT, MARGIN = 160, 16
+#: Segments that go through the network together.
+AT_ONCE = 2048
+#: The evidence of so many neighbouring positions counts as that of one, since they share what they saw.
+SHARED = 8
 
 
-def sequences(text: str) -> list[bytes]:
-    """All of a text, lower-cased, as byte sequences: its words, the long ones in pieces."""
-    words = text.lower().encode("utf-8", "replace").split()
-    if all(len(w) <= SEQUENCE_BYTES for w in words):
-        return words
-    return [w[i : i + SEQUENCE_BYTES] for w in words for i in range(0, len(w), SEQUENCE_BYTES)]
+def stream(text: str) -> bytes:
+    """What the network reads of a text: all its bytes, lower-cased."""
+    return text.lower().encode("utf-8", "replace")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def segments(streams: list[bytes], size: int = SEGMENT, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, owner, valid): all overlapping segments of all streams, whose they are, and how many of their own bytes they have.
 
+    A segment is its own bytes between `margin` bytes of context on either side; zeros stand
+    for what lies beyond a stream.
+    """
+    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+    before, after = bytes(margin), bytes(margin + size)
+    data = np.frombuffer(b"".join([x for s in streams for x in (before, s, after)]), np.uint8)
+    n = -(-lengths // size)
+    owner = np.repeat(np.arange(len(streams)), n)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
+    base = np.cumsum(lengths + 2 * margin + size) - (lengths + 2 * margin + size)
+    if not len(owner):
+        return np.empty((0, size + 2 * margin), np.uint8), owner, begin
+    x = np.lib.stride_tricks.sliding_window_view(data, size + 2 * margin)[base[owner] + begin]
+    return x, owner, np.minimum(size, lengths[owner] - begin)
 
-def _by_length(seqs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in seqs, byte matrix) for each length, so that nothing needs padding."""
-    lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        yield at, np.frombuffer(b"".join([seqs[i] for i in at]), np.uint8).reshape(len(at), n)
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Direction:
@@ -53,8 +63,8 @@ class Direction:
         }
         self.hidden = hidden
 
-    def forward(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x: bytes (n, steps), in reading order. States after each step (steps, n, hidden)."""
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """x: bytes (n, steps), in reading order. States after each step (steps, n, hidden), and what backward() needs."""
         n, h = len(x), self.hidden
         state, states, past = np.zeros((n, h), np.float32), [], []
         for t in range(x.shape[1]):
@@ -63,8 +73,7 @@ class Direction:
             update, reset = both[:, :h], both[:, h:]
             damped = reset * state
             new = np.tanh(given[:, 2 * h :] + damped @ self.p["candidate"])
-            if keep:
-                past.append((state, update, reset, damped, new))
+            past.append((state, update, reset, damped, new))
             state = new + update * (state - new)
             states.append(state)
         return np.stack(states), past
@@ -72,7 +81,7 @@ class Direction:
     def backward(self, x: np.ndarray, past: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
         """Backpropagation through time from the gradient on each state."""
         h, grads = self.hidden, {k: np.zeros_like(v) for k, v in self.p.items()}
-        carried = np.zeros_like(d_states[0])
+        carried, given = np.zeros_like(d_states[0]), np.empty((x.shape[1], len(x), 3 * h), d_states.dtype)
         for t in range(x.shape[1] - 1, -1, -1):
             state, update, reset, damped, new = past[t]
             d = d_states[t] + carried
@@ -81,10 +90,43 @@ class Direction:
             d_gates = np.concatenate([d * (state - new) * update * (1 - update), d_damped * state * reset * (1 - reset)], axis=1)
             grads["candidate"] += damped.T @ d_new
             grads["gates"] += state.T @ d_gates
-            np.add.at(grads["inputs"], x[:, t], np.concatenate([d_gates, d_new], axis=1))
+            given[t, :, : 2 * h], given[t, :, 2 * h :] = d_gates, d_new
             carried = d * update + d_damped * reset + d_gates @ self.p["gates"].T
+        order = np.argsort(x.T.ravel(), kind="stable")
+        byte = x.T.ravel()[order]
+        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        grads["inputs"][byte[first]] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first)
         return grads
 
+    def add_logits(self, x: np.ndarray, out: np.ndarray, logits: np.ndarray) -> None:
+        """forward() without a memory: adds states @ out to logits (steps, n, languages); x: bytes (steps, n)."""
+        n, h = x.shape[1], self.hidden
+        inputs, gates, candidate = self.p["inputs"].copy(), self.p["gates"] * np.float32(0.5), self.p["candidate"]
+        inputs[:, : 2 * h] *= 0.5  # a sigmoid is a tanh of half its argument
+        state, damped, new = (np.zeros((n, h), np.float32) for _ in range(3))
+        given, both, own = np.empty((n, 3 * h), np.float32), np.empty((n, 2 * h), np.float32), np.empty(logits.shape[1:], np.float32)
+        update, reset = both[:, :h], both[:, h:]
+        for t in range(len(x)):
+            np.take(inputs, x[t], axis=0, out=given, mode="clip")
+            np.dot(state, gates, out=both)
+            both += given[:, : 2 * h]
+            np.tanh(both, out=both)
+            both += 1
+            both *= 0.5
+            np.multiply(reset, state, out=damped)
+            np.dot(damped, candidate, out=new)
+            new += given[:, 2 * h :]
+            np.tanh(new, out=new)
+            state -= new
+            state *= update
+            state += new
+            logits[t] += np.dot(state, out, out=own)
+
+
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits = logits - logits.max(axis=-1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+
 
 @dataclass
 class LanguageModel:
@@ -96,62 +138,67 @@ class LanguageModel:
     out: np.ndarray
     bias: np.ndarray
 
-    def positions(self, x: np.ndarray, keep: bool = False):
-        """Probabilities (steps, n, languages) of every position of equally long sequences."""
-        ahead, past_a = self.ahead.forward(x, keep)
-        back, past_b = self.back.forward(x[:, ::-1], keep)
-        state = np.concatenate([ahead, back[::-1]], axis=2)
-        logits = state @ self.out + self.bias
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True), state, past_a, past_b
-
-    def log_probabilities(self, seqs: list[bytes]) -> np.ndarray:
-        """For each sequence, the logarithm of its positions' mean probabilities."""
-        result = np.empty((len(seqs), len(self.languages)))
-        for at, x in _by_length(seqs):
-            for i in range(0, len(at), 4096):
-                p = self.positions(x[i : i + 4096])[0]
-                result[at[i : i + 4096]] = np.log(p.mean(axis=0) + 1e-9)
-        return result
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        """Log-probabilities (steps, n, languages) of every position of segments (n, steps)."""
+        steps, h = np.ascontiguousarray(x.T), self.ahead.hidden
+        logits = np.empty((*steps.shape, len(self.languages)), np.float32)
+        logits[:] = self.bias
+        self.ahead.add_logits(steps, np.ascontiguousarray(self.out[:h]), logits)
+        self.back.add_logits(steps[::-1], np.ascontiguousarray(self.out[h:]), logits[::-1])
+        return _log_softmax(logits)
+
+    def evidence(self, streams: list[bytes]) -> np.ndarray:
+        """For each stream the sum over all its positions of their log-probabilities."""
+        x, owner, valid = segments(streams)
+        total, inner = np.zeros((len(streams), len(self.languages))), np.arange(SEGMENT)[:, None]
+        for at in range(0, len(x), AT_ONCE):
+            own = slice(at, at + AT_ONCE)
+            p = self.labels(x[own])[MARGIN : MARGIN + SEGMENT]
+            p[inner >= valid[own]] = 0
+            np.add.at(total, owner[own], p.sum(axis=0, dtype=np.float64))
+        return total
 
     @classmethod
-    def fit(cls, pairs: list[tuple[bytes, str]], hidden: int = 12, steps: int = 1200, batch: int = 384, rate: float = 0.01, seed: int = 7) -> LanguageModel:
-        """pairs: (sequence, language). Cross-entropy of every position, by Adam on batches of one length."""
+    def fit(cls, pairs: list[tuple[bytes, str]], hidden: int = 12, steps: int = 500, batch: int = 192, size: int = 48, margin: int = 8, rate: float = 0.012, seed: int = 7) -> LanguageModel:
+        """pairs: (passage, language). Cross-entropy of every position of passages' segments, by Adam."""
         rng = np.random.default_rng(seed)
         languages = sorted({lang for _, lang in pairs})
         model = cls(languages, Direction(hidden, rng), Direction(hidden, rng), rng.normal(0, 0.1, (2 * hidden, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
-        if len(languages) < 2:
+        x, owner, _ = segments([s for s, _ in pairs], size, margin)
+        if len(languages) < 2 or not len(x):
             return model
-        target = np.array([languages.index(lang) for _, lang in pairs])
-        groups = list(_by_length([s for s, _ in pairs]))
-        share = np.array([len(at) for at, _ in groups], float)
+        target = np.array([languages.index(lang) for _, lang in pairs])[owner]
+        by_language = [np.flatnonzero(target == k) for k in range(len(languages))]
+        by_language = [own for own in by_language if len(own)]
         params = {("a", k): v for k, v in model.ahead.p.items()} | {("b", k): v for k, v in model.back.p.items()} | {("o", "out"): model.out, ("o", "bias"): model.bias}
         m, v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            at, bytes_ = groups[rng.choice(len(groups), p=share / share.sum())]
-            pick = rng.integers(0, len(at), min(batch, max(32, len(at))))
-            x, y = bytes_[pick], target[at[pick]]
-            p, state, past_a, past_b = model.positions(x, keep=True)
-            d = p.copy()
+            pick = np.concatenate([rng.choice(own, max(1, batch // len(by_language))) for own in by_language])
+            now, y = x[pick], target[pick]
+            ahead, past_a = model.ahead.forward(now)
+            back, past_b = model.back.forward(now[:, ::-1])
+            state = np.concatenate([ahead, back[::-1]], axis=2)
+            d = np.exp(_log_softmax(state @ model.out + model.bias))
             d[:, np.arange(len(y)), y] -= 1
-            d /= d.shape[0] * d.shape[1]
+            d *= (now.T != 0)[:, :, None]
+            d /= max(1, np.count_nonzero(now))
             d_state = d @ model.out.T
-            grads = {("o", "out"): np.einsum("tnh,tnl->hl", state, d), ("o", "bias"): d.sum(axis=(0, 1))}
-            grads |= {("a", k): g for k, g in model.ahead.backward(x, past_a, d_state[:, :, :hidden]).items()}
-            grads |= {("b", k): g for k, g in model.back.backward(x[:, ::-1], past_b, d_state[::-1, :, hidden:]).items()}
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+            grads = {("o", "out"): state.reshape(-1, 2 * hidden).T @ d.reshape(-1, len(languages)), ("o", "bias"): d.sum(axis=(0, 1))}
+            grads |= {("a", k): g for k, g in model.ahead.backward(now, past_a, d_state[:, :, :hidden]).items()}
+            grads |= {("b", k): g for k, g in model.back.backward(now[:, ::-1], past_b, d_state[::-1, :, hidden:]).items()}
+            speed = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in grads.items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
-                params[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                params[k] -= speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return model
 
 
-def training_pairs(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, docs_each: int, words_each: int) -> list[tuple[bytes, str]]:
-    """About docs_each documents of every language, words_each words from anywhere in each.
+def training_pairs(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, docs_each: int, bytes_each: int) -> list[tuple[bytes, str]]:
+    """About docs_each documents of every language, a passage of up to bytes_each bytes from anywhere in each.
 
     The documents are those whose hashed id lies under a threshold that the language's count
-    gives, so at most about docs_each x languages x words_each words reach the driver.
+    gives, so at most about docs_each x languages x bytes_each bytes reach the driver.
     """
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -163,56 +210,47 @@ def training_pairs(docs: DataFrame, learn: Column, id_col: str, text: str, lang:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            seqs, langs = [], []
-            for draw, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sequences(text)
-                seqs += random.Random(draw).sample(own, min(words_each, len(own)))
-                langs += [lang] * (len(seqs) - len(langs))
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary()), pa.array(langs, pa.string())], ["s", "l"])
+            passages = []
+            for draw, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = stream(text)
+                begin = random.Random(draw).randrange(max(1, len(own) - bytes_each + 1))
+                passages.append(own[begin : begin + bytes_each])
+            yield pa.RecordBatch.from_arrays([pa.array(passages, pa.binary()), batch.column(2)], ["s", "l"])
 
     return sorted((bytes(r["s"]), r["l"]) for r in chosen.mapInArrow(run, "s binary, l string").collect())
 
 
-def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 500, words_each: int = 80) -> LanguageModel | None:
-    """Trains on a bounded sample (docs_each documents a language, words_each words each); None without rows."""
-    pairs = training_pairs(docs, learn, id_col, text, lang, docs_each, words_each)
+def fit_language_model(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 500, bytes_each: int = 480) -> LanguageModel | None:
+    """Trains on a bounded sample (docs_each documents a language, bytes_each bytes each); None without rows."""
+    pairs = training_pairs(docs, learn, id_col, text, lang, docs_each, bytes_each)
     return LanguageModel.fit(pairs) if pairs else None
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to the kept columns; clashing ones are replaced.
 
-    The network reads the whole text, a word at a time; a word's mean position
-    probabilities are its evidence, and a document's probabilities are the normalised
-    product of its words'. A text that is null or has no letter, or any text without a
-    model, gets `und` and score 0. Ties go to the first language by name.
+    The network reads the whole byte stream of a text, with or without spaces, in
+    overlapping segments; every position is labelled, and a document's probabilities are the
+    normalised product of its positions', of which SHARED count as one. A text that is null or has no letter, or any text
+    without a model, gets `und` and score 0. Ties go to the first language by name.
+    Repeated rows are repeated; an empty table gives no rows; memory depends on the
+    segments of a batch of at most 64 texts.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     source, at = text_source(docs, keep, text)
     schema = docs.select(*[docs[c] for c in keep], F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        evidence = np.empty((0, len(model.languages) if model else 0))
-        for batch in parts(batches, 256):
-            langs, scores = [], []
-            own = [sequences(t) if model and t and LETTER.search(t) else [] for t in batch.column(at).to_pylist()]
-            new = list({w for words in own for w in words} - place.keys())
-            if len(place) + len(new) > KEPT_WORDS:
-                place, evidence = {}, evidence[:0]
-                new = list({w for words in own for w in words})
-            if new:
-                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                evidence = np.concatenate([evidence, model.log_probabilities(new)])
-            for words in own:
-                if not words:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total = evidence[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                e = np.exp(total - total.max())
-                langs.append(model.languages[int(total.argmax())])
-                scores.append(float(e.max() / e.sum()))
+        for batch in parts(batches, 64):
+            texts = batch.column(at).to_pylist()
+            read = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            if read:
+                total = model.evidence([stream(texts[i]) for i in read])
+                best = total.argmax(axis=1)
+                score = 1 / np.exp((total - total.max(axis=1, keepdims=True)) / SHARED).sum(axis=1)
+                for i, k, x in zip(read, best.tolist(), score.tolist(), strict=True):
+                    langs[i], scores[i] = model.languages[k], x
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
