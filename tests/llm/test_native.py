@@ -28,10 +28,11 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_generalises_fields(spark):
-    rows = [(i, f"own {i * 7}\nServer alpha node {w} has started now\nPage {i} of 9") for i, w in enumerate(["red", "blue", "grey", "pink"])]
-    found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()}
+    rows = [(i, f"own {i * 7}\nServer alpha node {w} has started now\nIt took {i}.5 ms to read the whole table\n{i} 7.5 {i * i}\n20{i}1\nTotal 48") for i, w in enumerate(["red", "blue", "grey", "pink"])]
+    found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), depth=2).collect()}
     assert found[0].n_dropped == 0
-    assert all(found[i].text == "" or found[i].n_dropped == 3 for i in (1, 2, 3))  # the own line is a template, too
+    for i in (1, 2, 3):  # numbers alone, which differ, aren't a template
+        assert found[i].text == f"own {i * 7}\n{i} 7.5 {i * i}\n20{i}1"
 
 
 def test_line_dedup_cases(spark):
