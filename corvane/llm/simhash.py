@@ -14,7 +14,7 @@ from .components import connected_components
 
 SEED = 42
 FAN_OUT = 8
-QUERIES_AT_ONCE = 1 << 15
+QUERIES_AT_ONCE, OPEN = 1 << 15, 1 << 19
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = SEED) -> int:
@@ -89,36 +89,44 @@ class GrayIndex:
         self.root_of = np.searchsorted(owner, self.keys)
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Positions (i < j, in sorted order) and distances of codes of one key within the radius."""
+        """Positions (i < j, in sorted order) and distances of codes of one key within the radius.
+
+        Queries that open more than OPEN nodes at a level are halved, so that memory doesn't
+        grow with the density of a key.
+        """
         for at in range(0, len(self.codes), QUERIES_AT_ONCE):
             query = np.arange(at, min(at + QUERIES_AT_ONCE, len(self.codes)))
             node = self.root_of[query]
             mask, ones = self.levels[-1]
             spent = np.bitwise_count((self.codes[query] ^ ones[node]) & mask[node]).astype(np.int16)
-            for level in range(len(self.levels) - 1, -1, -1):
+            waiting = [(len(self.levels) - 1, query, node, spent)]
+            while waiting:
+                level, query, node, spent = waiting.pop()
                 ok = spent <= radius
                 query, node, spent = query[ok], node[ok], spent[ok]
                 starts, ends = self.spans[level]
-                above = self.levels[level][0][node]
                 n = ends[node] - starts[node]
+                if n.sum() > OPEN and len(query) > 1:
+                    half = len(query) // 2
+                    waiting += [(level, query[half:], node[half:], spent[half:]), (level, query[:half], node[:half], spent[:half])]
+                    continue
+                above = self.levels[level][0][node]
                 child = np.repeat(starts[node] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 query, spent, above = np.repeat(query, n), np.repeat(spent, n), np.repeat(above, n)
                 if level:
                     mask, ones = self.levels[level - 1]
                     more = (self.codes[query] ^ ones[child]) & mask[child] & ~above
-                else:
-                    ahead = child > query
-                    query, child, spent, above = query[ahead], child[ahead], spent[ahead], above[ahead]
-                    more = (self.codes[query] ^ self.codes[child]) & ~above
-                spent = spent + np.bitwise_count(more)
-                node = child
-            ok = spent <= radius
-            yield query[ok], node[ok], spent[ok]
-
-
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest position reachable from each of n positions."""
-    root = np.arange(n)
+                    waiting.append((level - 1, query, child, spent + np.bitwise_count(more)))
+                    continue
+                ahead = child > query
+                query, child, spent, above = query[ahead], child[ahead], spent[ahead], above[ahead]
+                spent = spent + np.bitwise_count((self.codes[query] ^ self.codes[child]) & ~above)
+                ok = spent <= radius
+                yield query[ok], child[ok], spent[ok]
+
+
+def _forest(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest position reachable from each position, given those reachable without these links."""
     while True:
         low = np.minimum(root[left], root[right])
         before = root.copy()
@@ -154,9 +162,9 @@ def _linked(radius: int):
             if not len(keys):
                 return
             index = GrayIndex(keys, codes)
-            found = [(i, j) for i, j, _ in index.pairs(radius)]
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            root = _forest(len(keys), i, j)
+            root = np.arange(len(keys))
+            for i, j, _ in index.pairs(radius):
+                root = _forest(root, i, j)
             moved = np.flatnonzero(root != np.arange(len(keys)))
             if len(moved):
                 own = index.codes.view(np.int64)
