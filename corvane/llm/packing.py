@@ -3,141 +3,289 @@
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import os
-import unicodedata
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, parts, store
 
-#: Chunks, and words in chunks, whose ids a task keeps in each of two generations; results don't depend on it.
-KEPT_CHUNKS, KEPT_WORDS = 60_000, 100_000
-#: The tokenizer's own words within a chunk, as its pre-tokenizer has them.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
-
-ENDS = frozenset(".,;:!?")
+#: Words and chunks whose ids a worker keeps before it starts anew, and characters it looks at together; results don't depend on either.
+KEPT_WORDS, CHARS_AT_ONCE = 1 << 18, 1 << 18
+#: Bytes of an output batch, about.
+BYTES_AT_ONCE = 1 << 22
+WORD_BYTES = 16
+#: Up to so many counts (three numbers each) are broadcast.
+COUNT_ROWS = 200_000
+
+# The parts of a tokenizer file that the fast path relies on.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 #: Bytes as the letters that the model's vocabulary is written in: printable ones stand for themselves, others follow from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
-
-class Generations:
-    """A bounded memory: when the younger half is full it becomes the older one, from which what is used again comes back."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def known(self, keys) -> list:
-        """Brings back what the older half has; returns the keys that neither has."""
-        young, old, new = self.young, self.old, []
-        for key in keys:
-            if key in old:
-                young[key] = old[key]
-            else:
-                new.append(key)
-        return new
-
-    def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+SPACE, LETTER, DIGIT, OTHER, END = range(5)
+#: The kind of each byte; the second bytes of Latin-1 letters are letters, whatever else is beyond ASCII isn't looked at here.
+KINDS = np.array([SPACE if b in b"\t\n\v\f\r " else DIGIT if 48 <= b < 58 else LETTER if b >= 128 or chr(b).isalpha() else OTHER for b in range(256)], np.uint8)
+LOWERED = np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
+#: Bytes of which a chunk goes to the tokenizer whole: control characters, apostrophes and, unless a Latin-1 letter, all beyond ASCII.
+DOUBTFUL = np.array([b == 39 or b == 127 or b < 32 and KINDS[b] != SPACE or b >= 128 for b in range(256)])
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-class ChunkTokenizer:
-    """Ids of whole texts, by the ids of their chunks between spaces and line feeds, and of the words in these.
+class WordTable:
+    """Numbers of words of up to WORD_BYTES bytes, by open addressing on the bytes themselves."""
 
-    Right for a byte-level tokenizer that composes (NFC), lower-cases and cuts at WORD, drops
-    white space and encodes each word by itself. Chunks that Python would compose or lower-case
-    otherwise, or that may hold special tokens, are given to the tokenizer whole.
+    def __init__(self, most: int):
+        bits = max(4, (2 * most - 1).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.low, self.high, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (((low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of words, -1 for those not in the table."""
+        slot = self._slots(low, high)
+        found = self.number[slot]
+        open_ = np.flatnonzero((found >= 0) & ((self.low[slot] != low) | (self.high[slot] != high)))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.last
+            at = slot[open_]
+            found[open_] = self.number[at]
+            open_ = open_[(found[open_] >= 0) & ((self.low[at] != low[open_]) | (self.high[at] != high[open_]))]
+        return found
+
+    def add(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Distinct words that aren't in the table yet."""
+        slot, open_ = self._slots(low, high), np.arange(len(low))
+        while len(open_):
+            at = slot[open_]
+            free = self.number[at] < 0
+            self.number[at[free]] = number[open_[free]]
+            done = self.number[at] == number[open_]
+            mine, at = open_[done], at[done]
+            self.low[at], self.high[at] = low[mine], high[mine]
+            open_ = open_[~done]
+            slot[open_] = (slot[open_] + 1) & self.last
+
+
+class BulkTokenizer:
+    """Ids of many texts at once, equal to the tokenizer's for each text, then end_id.
+
+    White space parts a text into chunks, whose ids don't depend on each other. Chunks of ASCII
+    and of Latin-1 letters are cut into words and looked up with array operations; words not
+    met before are given to the model. All other chunks are given to the tokenizer whole, and
+    so is every chunk if the file at `path` isn't built of NORMALIZERS and PRE_TOKENIZERS.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
-        self.tokenizer, self.words_of = Tokenizer.from_file(path), regex.compile(WORD).findall
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.model = self.tokenizer.model
-        self.chunks, self.words = Generations(KEPT_CHUNKS), Generations(KEPT_WORDS)
-
-    def _words(self, chunk: str) -> tuple[str, ...] | list[str] | None:
-        """The lower-case words of a chunk; None if it must be encoded whole."""
-        if not chunk.isascii() and ("\u03a3" in chunk or not unicodedata.is_normalized("NFC", chunk)) or "<|" in chunk:
-            return None
-        low = chunk.lower()
-        if low.isalpha():
-            return (low,)
-        if low[-1:] in ENDS and low[:-1].isalpha():
-            return low[:-1], low[-1]
-        return self.words_of(low)
-
-    def _learn(self, chunks: set[str]) -> None:
-        young, words, cut, new, whole = self.chunks.young, self.words.young, [], set(), set()
-        for chunk in self.chunks.known(chunks):
-            own = self._words(chunk)
-            if own is None:
-                own = (chunk,)
-                whole.add(chunk)
-            cut.append((chunk, own))
-            new.update(own)
-        new = self.words.known(new.difference(words))
-        for word in new:
-            if word in whole:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            else:
-                letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = [t.id for t in self.model.tokenize(letters)]
-            words[word] = np.array(ids, "<u4").tobytes()
-        for chunk, own in cut:
-            young[chunk] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
-        self.words.turn()
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        get, found, missing = self.chunks.young.get, [], []
+        normalizer, cutter = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.by_word = normalizer.get("normalizers") == NORMALIZERS and cutter.get("pretokenizers") == PRE_TOKENIZERS and isinstance(self.model, BPE) and not self.model.dropout
+        self.by_word &= all(x.content.startswith("<|") for x in self.tokenizer.get_added_tokens_decoder().values())
+        self._start(KEPT_WORDS)
+
+    def _start(self, most: int) -> None:
+        self.most, self.table, self.chunks = most, WordTable(most), {}
+        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 1
+        self.ids[0] = self.end_id
+        self.begin, self.size, self.n_words = np.zeros(most + 2, np.int64), np.zeros(most + 2, np.int64), 2
+        self.size[0] = 1  # word 0 is the end of a text, word 1 the end of a part of one
+
+    def _store(self, found: list[list[int]]) -> np.ndarray:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, total = len(found), int(sizes.sum())
+        while self.n_ids + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + total] = [i for own in found for i in own]
+        numbers = np.arange(self.n_words, self.n_words + n)
+        self.begin[numbers], self.size[numbers] = self.n_ids + np.cumsum(sizes) - sizes, sizes
+        self.n_ids, self.n_words = self.n_ids + total, self.n_words + n
+        return numbers
+
+    def _numbers(self, low: np.ndarray, high: np.ndarray, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words (by their bytes) and of whole chunks, new ones learnt."""
+        known, new = self.table.find(low, high), {c for c in whole if c not in self.chunks}
+        missing = np.flatnonzero(known < 0)
+        keys = np.unique(np.stack([low[missing], high[missing]], axis=1).view([("low", "<u8"), ("high", "<u8")]).ravel()) if len(missing) else []
+        if self.n_words - 2 + len(keys) + len(new) > self.most and self.n_words > 2:
+            self._start(max(KEPT_WORDS, len(low) + len(whole)))
+            return self._numbers(low, high, whole)
+        if self.n_words - 2 + len(keys) + len(new) > self.most:
+            self._start(len(low) + len(whole))
+        if len(keys):
+            words, tokens = keys.view(f"S{WORD_BYTES}").tolist(), self.model.tokenize  # NUL pads them
+            numbers = self._store([[t.id for t in tokens(w.decode("latin-1").translate(BYTE_LETTERS))] for w in words])
+            self.table.add(np.ascontiguousarray(keys["low"]), np.ascontiguousarray(keys["high"]), numbers.astype(np.int32))
+            known[missing] = self.table.find(low[missing], high[missing])
+        if new:
+            new = sorted(new)
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+            self.chunks.update(zip(new, self._store([e.ids for e in found]).tolist(), strict=True))
+        return known, np.fromiter((self.chunks[c] for c in whole), np.int64, len(whole))
+
+    def _encode(self, texts: list[str], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each followed by end_id where `last`, and where each one's end."""
+        raw = [t.encode() for t in texts]
+        joined = b"\n".join([*raw, bytes(WORD_BYTES)])
+        n = len(joined) - WORD_BYTES
+        data = np.frombuffer(joined, np.uint8, n)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
+        kinds, low = KINDS[data], np.r_[LOWERED[data], np.zeros(WORD_BYTES, np.uint8)]
+        kinds[ends] = END
+        doubtful = DOUBTFUL[data]
+        latin = np.flatnonzero(data == 0xC3)
+        second = data[latin + 1]
+        doubtful[latin] = doubtful[latin + 1] = (second == 0x97) | (second == 0xB7)  # times, divided by
+        low[latin + 1] += np.where(second < 0x9F, 32, 0).astype(np.uint8)
+        special = np.flatnonzero(data[:-1] == ord("<"))
+        doubtful[special] |= data[special + 1] == ord("|")
+        cut = np.r_[True, kinds[1:] != kinds[:-1]] | (kinds == DIGIT) | (kinds == END)
+        at = np.flatnonzero(cut)
+        kind, size = kinds[at], np.diff(np.r_[at, n])
+        gap = (kind == SPACE) | (kind == END)
+        chunk = np.cumsum(~gap & np.r_[True, gap[:-1]])  # of words, from 1 on
+        bad = np.zeros(chunk[-1] + 1, bool)
+        bad[chunk[size > WORD_BYTES]] = True  # chunk 0 is before the first word
+        bad[chunk[np.searchsorted(at, np.flatnonzero(doubtful), side="right") - 1]] = True
+        first = ~gap & np.r_[True, gap[:-1]]
+        bad_word = bad[chunk] & ~gap
+        taken = (kind != SPACE) & ~(bad_word & ~first)
+        starts = at[first & bad_word]
+        stops = np.r_[at[gap], n]
+        stops = stops[np.searchsorted(stops, starts)]
+        whole = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        at, kind, size, bad_word = at[taken], kind[taken], size[taken], bad_word[taken]
+        plain = (kind != END) & ~bad_word
+        eight = np.ndarray(n + 8, "<u8", low.tobytes(), strides=(1,))
+        here, size = at[plain], size[plain]
+        words = eight[here] & MASKS[np.minimum(size, 8)], eight[here + 8] & MASKS[np.maximum(size - 8, 0)]
+        number = np.empty(len(at), np.int64)
+        number[plain], number[bad_word] = self._numbers(*words, whole)
+        number[kind == END] = ~last
+        sizes = self.size[number]
+        upto = np.cumsum(sizes)
+        places = np.repeat(self.begin[number] - upto + sizes, sizes) + np.arange(upto[-1])
+        return self.ids[places], upto[kind == END]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by end_id, and where each one's end; null is empty."""
+        found, ends, total = [], [], 0
+        if not self.by_word:
+            for text in texts:
+                found.append(np.array([*self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.end_id], "<u4"))
+            return np.concatenate(found), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        held, last, chars = [], [], 0
+
+        def flush() -> None:
+            nonlocal held, last, chars, total
+            ids, upto = self._encode(held, np.array(last))
+            found.append(ids)
+            ends.append(total + upto[np.array(last)])
+            total += len(ids)
+            held, last, chars = [], [], 0
+
         for text in texts:
-            chunks = text.replace("\n", " ").split(" ") if text else []
-            own = list(map(get, chunks))
-            if None in own:
-                missing += [(own, i, chunks[i]) for i, x in enumerate(own) if x is None]
-            found.append(own)
-        self._learn({chunk for _, _, chunk in missing})
-        for own, i, chunk in missing:
-            own[i] = get(chunk)
-        self.chunks.turn()
-        return list(map(b"".join, found))
-
-
-def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+            text, begin = text or "", 0
+            while True:
+                end = len(text)
+                if end - begin > CHARS_AT_ONCE:  # cut at white space
+                    gap = GAP.search(text, begin + CHARS_AT_ONCE)
+                    end = gap.start() if gap else end
+                held.append(text[begin:end])
+                last.append(end == len(text))
+                chars += end - begin
+                if chars >= CHARS_AT_ONCE:
+                    flush()
+                if end == len(text):
+                    break
+                begin = end
+        if held:
+            flush()
+        return np.concatenate(found), np.concatenate(ends)
+
+
+GAP = re.compile("[\t-\r ]")
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(path: str, end_id: int) -> BulkTokenizer:
+    """A worker's tokenizer: later tasks of the same worker find the words that earlier ones met."""
+    return BulkTokenizer(path, end_id)
+
+
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of about BYTES_AT_ONCE bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each row among those of its length, counted on in `seen`."""
+    order = np.argsort(length, kind="stable")
+    own = length[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    n = np.diff(np.r_[first, len(own)])
+    ranks = np.empty(len(own), np.int64)
+    ranks[order] = np.arange(len(own)) - np.repeat(first, n) + seen[own]
+    seen[own[first]] += n
+    return ranks
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text", numbered: tuple[str, str] | None = None) -> DataFrame:
     """Pieces of at most `capacity` ids: id column, piece, start, length, ids (binary, little-endian uint32).
 
     A document is its ids and then end_id, so a null or empty text is end_id alone. Only
-    longer documents are cut; the last piece may be shorter.
+    longer documents are cut; the last piece may be shorter. Repeated rows, null ids and
+    ids of any type are carried along, other columns are left out; an empty table gives no
+    rows. numbered: names of two more columns, the task and a piece's number among those of
+    its length in the task, so that pack() need not count them.
     """
     source = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end, step = ChunkTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for part in parts(batches, 128):
-            row, piece, ids = [], [], []
-            for i, own in enumerate(tokenizer.ids(part.column(1).to_pylist())):
-                own += end
-                cut = [own[k : k + step] for k in range(0, len(own), step)]
-                ids += cut
-                row += [i] * len(cut)
-                piece += range(len(cut))
-            pieces = np.array(piece, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row, pa.int64())), pa.array(pieces, pa.int32()), pa.array(pieces * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                [id_col, "piece", "start", "length", "ids"],
-            )
+        from pyspark import TaskContext
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+        tokenizer, own, seen = tokenizer_of(tokenizer_path, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for part in (p for batch in batches for rows in parts([batch], 256) for p in _portions(rows, 1)):
+            ids, ends = tokenizer.encode(part.column(1).to_pylist())
+            begins = np.r_[0, ends[:-1]]
+            n = -(-(ends - begins) // capacity)
+            row = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = begins[row] + piece * capacity
+            upto = np.minimum(at + capacity, ends[row])
+            offsets, data = pa.py_buffer((4 * np.r_[at, ends[-1]]).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))
+            columns = [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(upto - at), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, data])]
+            if numbered:
+                columns += [pa.array(np.full(len(row), own, np.int32)), pa.array(_ranks(upto - at, seen))]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids", *(numbered or ())])
+
+    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary" + (f", `{numbered[0]}` int, `{numbered[1]}` long" if numbered else ""))
 
 
 @dataclass(frozen=True)
@@ -197,7 +345,7 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> tuple[list[Slots], int
     return slots, made
 
 
-def _numbered(pieces: DataFrame, part: str, nth: str) -> DataFrame:
+def _numbered(pieces: DataFrame, part: str, nth: str, capacity: int) -> DataFrame:
     """Numbers the rows of each length within each partition."""
     at = pieces.columns.index("length")
     schema = pieces.select("*", F.lit(0).alias(part), F.lit(0).cast("long").alias(nth)).schema
@@ -205,37 +353,38 @@ def _numbered(pieces: DataFrame, part: str, nth: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, seen = TaskContext.get().partitionId(), {}
+        own, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            number = []
-            for length in batch.column(at).to_pylist():
-                n = seen.get(length, 0)
-                seen[length] = n + 1
-                number.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own] * batch.num_rows, pa.int32()), pa.array(number, pa.int64())], [*batch.schema.names, part, nth])
+            if batch.num_rows:
+                ranks = _ranks(batch.column(at).to_numpy(zero_copy_only=False), seen)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ranks), own, np.int32)), pa.array(ranks)], [*batch.schema.names, part, nth])
 
     return pieces.mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, numbered: tuple[str, str] | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a length of 1 to capacity.
 
-    Other columns are carried along. Pieces are stored once, numbered within (task, length);
+    Other columns are carried along, but for those that `numbered` names: tokenize()'s numbers
+    within (task, length), which are counted here otherwise. Pieces are stored once with them;
     the histogram, at most `capacity` rows, is planned on the driver. A piece's rank within
     its length is its number plus the counts of earlier tasks, so that a length with most of
-    the rows is ranked in as many tasks as the input has. Pieces of one length are
+    the rows is ranked in as many tasks as the input has. The counts, a row for each task and length, are
+    broadcast up to COUNT_ROWS of them and joined beyond. Pieces of one length are
     interchangeable: ties are settled by the order of the rows. Rows without a length from 1
-    to capacity are an error. Clashing columns sequence_id and offset are replaced.
+    to capacity are an error. Clashing columns sequence_id and offset are replaced; an empty table gives no rows.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    names = pieces.columns
-    part, nth = free_name(pieces, "part"), free_name(pieces, "nth")
     checked = pieces.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit("length out of range")).cast("long")))
-    kept = store(_numbered(checked, part, nth), "pieces")
-    counts = kept.groupBy("length", part).agg(F.count("*").alias("n"))
+    part, nth = numbered or (free_name(pieces, "part"), free_name(pieces, "nth"))
+    pieces = pieces.drop(part, nth)
+    names = pieces.columns
+    kept = store(checked if numbered else _numbered(checked, part, nth, capacity), "pieces")
+    counts = store(kept.groupBy("length", part).agg(F.count("*").alias("n")), "counts")
     slots, _ = plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"))
+    bases = F.broadcast(bases) if counts.count() <= COUNT_ROWS else bases
     ranked = kept.join(bases, ["length", part]).select(*names, (F.col(nth) + F.col("base_")).alias("rank_"))
     if not slots:
         return ranked.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -27,8 +27,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
     WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
     lines AS (
-        SELECT doc_id, no, CASE WHEN regexp_matches(trim(x), '[0-9]') THEN regexp_replace(trim(x), '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE trim(x) END AS t
-        FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS no FROM raw)),
+        SELECT doc_id, no, CASE WHEN n_tokens - len(regexp_extract_all(x, '[^ ]*[0-9][^ ]*')) >= 0.8 * n_tokens THEN regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE x END AS t
+        FROM (SELECT doc_id, no, x, length(x) - length(replace(x, ' ', '')) + 1 AS n_tokens FROM (SELECT doc_id, trim(unnest(ls)) AS x, generate_subscripts(ls, 1) AS no FROM raw))),
     parsed AS (
         SELECT doc_id, no, t, concat(length(t) - length(replace(t, ' ', '')), '|', array_to_string(string_split(t, ' ')[1:4], ' ')) AS leaf
         FROM lines WHERE t <> ''),
@@ -41,7 +41,7 @@ OP1_SQL = """
     general AS (
         SELECT leaf, t, concat(leaf, '|', string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY tokens.pos)) AS template
         FROM tokens LEFT JOIN support s USING (leaf, pos, token) GROUP BY leaf, t
-        HAVING count(s.token) >= 0.8 * count(*)),
+        HAVING count(s.token) FILTER (tokens.token <> '<*>') >= 0.8 * count(*)),
     groups AS (SELECT e.t, coalesce(template, 'line ' || e.t) AS template, n, first_doc FROM exact e LEFT JOIN general g ON e.t = g.t),
     recurring AS (SELECT template, min(first_doc) AS first_doc FROM groups GROUP BY template HAVING sum(n) >= 3),
     hits AS (
@@ -83,9 +83,10 @@ def tokenizer_path() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    numbers = ("task", "nth")
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0, numbered=numbers)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(digests, capacity=2048)
+    return packing.pack(digests, capacity=2048, numbered=numbers)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,13 +53,18 @@ def test_plan(seed):
         assert at <= 64
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("count_first", [True, False])
+def test_packing(spark, monkeypatch, count_first):
     from tokenizers import Tokenizer
 
     rows = [r for r in documents() if r[0] != 1]
     rows += [(300, "tab\tand\u00a0space <|endoftext|> isn't É́ 😀", "en", "s", 0)]
-    pieces = packing.tokenize(frame(spark, rows), queries.tokenizer_path(), capacity=128).withColumn("offset", F.lit("old")).withColumn("part", F.lit("own"))
-    found = packing.pack(pieces, 128).collect()
+    numbers = ("task", "nth") if count_first else None
+    monkeypatch.setattr(packing, "COUNT_ROWS", 200_000 if count_first else 0)
+    pieces = packing.tokenize(frame(spark, rows), queries.tokenizer_path(), capacity=128, numbered=numbers).withColumn("offset", F.lit("old")).withColumn("part", F.lit("own"))
+    packed = packing.pack(pieces, 128, numbered=numbers)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids", "part", "sequence_id", "offset"]
+    found = packed.collect()
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     by_doc, by_sequence = {}, {}
     for r in found:
@@ -77,12 +82,55 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 128
-    assert packing.pack(pieces.limit(0), 128).collect() == []
+    assert packing.pack(pieces.limit(0), 128, numbered=numbers).collect() == []
+
+
+CHARACTERS = ["a", "B", "é", "É", "ß", "×", "÷", "'", "'s", "'LL", "don't", "<|endoftext|>", "<|", "|>", "<", " ", "\n", "\t", "\u00a0", "\u1c89", "\ua7cb", "\ua7da", "Σ", "ς", "ﬁ", "e\u0301", "\u0301", "1", "23", "²", "½", "...", "!?", "-", "\x00", "\x1c", "\x1f", "\x7f", "\u200d", "😀", "日本", "ſ", "İ", "ı", "ÿ", "À", "Þ", "xylophonesextraordinary", "o'clock", "c\u0327", "\u0085", "\ufeff", "\u2126"]
+
+
+@pytest.mark.parametrize("most,chars", [(packing.KEPT_WORDS, packing.CHARS_AT_ONCE), (40, 25)])
+def test_bulk_tokenizer(monkeypatch, most, chars):
+    monkeypatch.setattr(packing, "KEPT_WORDS", most)
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", chars)
+    bulk, rng = packing.BulkTokenizer(queries.tokenizer_path(), 0), random.Random(7)
+    assert bulk.by_word
+    for by_word in (True, False):
+        bulk.by_word = by_word
+        for _ in range(60):
+            texts = ["".join(rng.choice(CHARACTERS) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+            texts += [None, "", " ", "the and of " * 30, *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(30)) for _ in range(10))]
+            ids, ends = bulk.encode(texts)
+            for text, begin, end in zip(texts, [0, *ends[:-1]], ends, strict=True):
+                assert ids[begin:end].tolist() == [*bulk.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], text
+
+
+def test_other_tokenizer_files(tmp_path):
+    import public_tokenizers
+
+    assert not packing.BulkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 0).by_word
 
 
 # Models
 
 
+SF = "/root/testdata/sf0.01"
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_language_accuracy(spark):
+    """Held-out documents as they are, and without any white space."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_language_model(docs, is_training(F.col("doc_id")))
+    packed = docs.withColumn("text", F.regexp_replace("text", r"\s", "")).withColumn("source", F.lit("packed"))
+    got = langid.identify_language(docs.unionByName(packed), model).filter("lang is not null").collect()
+    for kind in (True, False):
+        own = [r.lang_pred == r.lang for r in got if held_out(r.doc_id) and (r.source == "packed") == kind and r.lang_pred != "und"]
+        assert len(own) > 300 and sum(own) >= (0.9 if kind else 0.98) * len(own), (kind, sum(own) / len(own))
+
+
 def labelled(n=300):
     rng = random.Random(1)
     rows, labels = [], []
@@ -119,7 +167,7 @@ def test_gradients():
     x = rng.integers(0, 5, (3, 6)).astype(np.uint8)
     weight = rng.normal(size=(6, 3, 4))
     loss = lambda: float((unit.forward(x)[0] * weight).sum())
-    grads = unit.backward(x, unit.forward(x, True)[1], weight)
+    grads = unit.backward(x, unit.forward(x)[1], weight)
     for name, value in unit.p.items():
         for _ in range(6):
             at = (int(rng.integers(0, 5 if name == "inputs" else value.shape[0])), int(rng.integers(0, value.shape[1])))
