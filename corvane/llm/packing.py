@@ -24,7 +24,7 @@ KEPT_WORDS, CHARS_AT_ONCE = 1 << 18, 1 << 18
 BYTES_AT_ONCE = 1 << 22
 WORD_BYTES = 16
 #: Up to so many counts (three numbers each) are broadcast.
-COUNT_ROWS = 200_000
+COUNT_ROWS = 100_000
 
 # The parts of a tokenizer file that the fast path relies on.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
