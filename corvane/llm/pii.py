@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import datetime
 import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +16,16 @@ from .common import free_name
 
 ROUNDS = 10
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+YEARS = range(1900, 2100)
+# Country calling codes of two digits. Those that begin with 1 or 7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 # What is looked for. A kind that has a validator counts only if it holds.
 PATTERNS = (
     ("email", r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_-]{16,})"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
     ("date", r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -46,6 +48,30 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+def country_code(digits: str) -> str:
+    """The calling code that an international number begins with."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+
+
+@functools.lru_cache(maxsize=16)
+def dates(orders: tuple[str, ...], wide: tuple[bool, bool]) -> np.ndarray:
+    """All dates of YEARS that one form can hold, as year * 10000 + one number * 100 + the other, in order.
+
+    orders: how the form may be read ("md": the first of the two numbers is the month); a
+    string that is a date in any of them is one. wide: whether each number has two digits or one.
+    """
+    year, one, other = np.meshgrid(np.array(YEARS), np.arange(1, 32), np.arange(1, 32), indexing="ij")
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
+    valid = np.zeros(year.shape, bool)
+    for order in orders:
+        m, d = (one, other) if order == "md" else (other, one)
+        valid |= (m <= 12) & (d <= days[np.minimum(m, 12)] + ((m == 2) & leap))
+    for number, two in ((one, wide[0]), (other, wide[1])):
+        valid &= two | (number < 10)
+    return (year * 10000 + one * 100 + other)[valid]
+
+
 def readings(kind: str, text: str) -> list[tuple[int, int]]:
     """The spans of shorter cards or IBANs in a match that failed its check, the longest first: cards start and end at separators, IBANs end at one."""
     cuts = [m.start() for m in re.finditer("[ -]" if kind == "card" else " ", text)]
@@ -136,33 +162,34 @@ class Pseudonyms:
         if kind == "phone":
             if not 7 <= len(digits) <= 15:
                 return None
-            code = len(re.match(r"\+([0-9]{1,3})", text)[1]) if re.match(r"\+[0-9]{1,3}[ .(-]", text) else 1
-            return lay(digits[:code] + self.string(digits[code:], DIGITS, "phone"))
+            code = country_code(digits)
+            return lay(code + self.string(digits[len(code) :], DIGITS, f"phone|{code}"))
         if kind == "email":
             local, _, host = text.rpartition("@")
-            return f"{self.mixed(local, 'email')}@{host}"
+            if any(c.isascii() and c.isalnum() for c in local) and not any(c.isalnum() and not c.isascii() for c in local):
+                return f"{self.mixed(local, 'email')}@{host}"
+            plain = local.encode("utf-8", "surrogatepass").hex()
+            return f"x{self.string(plain, HEX, 'email')}@{host}"
         if re.fullmatch("[0-9a-f]+", text.lower()) and not text.isdigit():
             low = self.string(text.lower(), HEX, "secret")
             return low.upper() if text == text.upper() else low
         return self.mixed(text, "secret")
 
     def _date(self, text: str) -> str | None:
+        """A permutation of the dates of one form: mark, order and digits of each number."""
         mark = re.search("[^0-9]", text)[0]
         parts = text.split(mark)
-        lengths = [len(p) for p in parts]
-        orders = ["ymd"] if lengths[0] == 4 else ["dmy", "mdy"] if mark == "/" else ["dmy"]
-        for order in orders:
-            at = dict(zip(order, map(int, parts), strict=True))
-            try:
-                day = datetime.date(at["y"], at["m"], at["d"]).toordinal()
-            except ValueError:
-                continue
-            if not FIRST_DAY <= day <= LAST_DAY:
-                return None
-            new = datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-            named = {"y": new.year, "m": new.month, "d": new.day}
-            return mark.join(f"{named[k]:0{4 if k == 'y' else 2 if min(lengths) == 2 else 1}d}" for k in order)
-        return None
+        first = len(parts[0]) == 4
+        year, one, other = parts if first else (parts[2], *parts[:2])
+        orders = ("md",) if first else ("dm", "md") if mark == "/" else ("dm",)
+        form = dates(orders, (len(one) == 2, len(other) == 2))
+        own = int(year) * 10000 + int(one) * 100 + int(other)
+        at = int(np.searchsorted(form, own))
+        if at == len(form) or form[at] != own:
+            return None
+        new = int(form[self.permute(at, len(form), f"date|{mark}|{first}|{len(one)}{len(other)}")])
+        year, one, other = f"{new // 10000}", f"{new // 100 % 100:0{len(one)}d}", f"{new % 100:0{len(other)}d}"
+        return mark.join((year, one, other) if first else (one, other, year))
 
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """A text with its personal data replaced, and (kind, start, end) of each in the text as given."""
@@ -194,10 +221,14 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", keep: list[str
     """The kept columns with the text's personal data replaced, then n_pii and pii (kind, start, end in characters of the input).
 
     Cards (Luhn), IBANs (modulo 97), IPv4 addresses, SSNs and dates (1900 to 2099) must be
-    valid and stay so; phone numbers keep their country code, e-mail addresses their host;
+    valid and stay so; a date is permuted among all dates of its form (order, marks, digits),
+    and where day and month can't be told apart the form has both readings. Phone numbers have a + and keep their country
+    code, e-mail addresses their host; a local part with letters beyond ASCII, or without any, becomes x and hexadecimal digits;
     values assigned to a token, key or password keep their alphabet. Equal values become
     equal pseudonyms in every document, under one key, whatever separators a number has.
-    Null texts stay null with 0; clashing columns are replaced; rows are independent.
+    Other dates and phone numbers without a + stay as they are.
+    Null texts stay null with 0, empty ones stay empty, long ones are read whole; repeated rows are repeated, an
+    empty table gives no rows; clashing columns are replaced; rows are independent.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_pii", "pii")]
     if text not in keep:
