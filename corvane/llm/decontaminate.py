@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, free_name, let, store
 
-#: Up to so many rows (of at most some hundred bytes) a benchmark's table is broadcast, beyond it joined by a shuffle.
+#: Up to so many rows (of at most some hundred bytes) a benchmark's table, or the ids of candidates, are broadcast, beyond it joined by a shuffle.
 BROADCAST_ROWS = 200_000
 GRAM = 4
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,8 +77,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         test = own.select(F.explode(fingerprints(F.col("words"), n)).alias("at")).select("at.fp").distinct()
         marked = rows.select("id", "text_hash", F.explode(fingerprints(words_of(F.col("text")), n)).alias("at")).select("id", "text_hash", "at.start", "at.last", "at.fp")
         candidates = marked.join(_fit(test, n_windows), "fp", "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "last")).alias("runs"))
-        candidates = candidates.withColumnsRenamed({"id": "c_id", "text_hash": "c_hash"})
-        met = rows.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))).drop("c_id", "c_hash").dropDuplicates(["id", "text_hash"])
+        candidates = store(candidates.withColumnsRenamed({"id": "c_id", "text_hash": "c_hash"}), "candidates")
+        same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))
+        few = candidates.count() <= BROADCAST_ROWS  # then only their texts are shuffled
+        texts = rows.join(F.broadcast(candidates.select("c_id", "c_hash")), same, "left_semi") if few else rows
+        met = texts.join(candidates, same).drop("c_id", "c_hash").dropDuplicates(["id", "text_hash"])
         spread = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["last"])))
         tried = let(words_of(F.col("text")), lambda w: F.transform(spread, lambda i: F.struct(i.alias("start"), _window(w, i, n).alias("window"))))
         hits = met.select("id", "text_hash", F.explode(tried).alias("at")).select("id", "text_hash", "at.start", "at.window")
