@@ -540,18 +540,25 @@ def _write_image(w: _Writer, pixels: list[int], top: bool, cache_bits: int = 0,
         _write_code(w, lengths)
         made = {s: (bits, n) for s, n, bits in _codes(tuple(lengths))}
         codes.append(made if len(made) > 1 else dict.fromkeys(made, (0, 0)))
-    for s in symbols:
-        if len(s) == 4:
-            a, r, g, b = s
-            for k, v in ((0, g), (1, r), (2, b), (3, a)):
-                w.write(*codes[k][v])
-        elif len(s) == 3:
-            w.write(*codes[0][256 + s[1][0]])
-            w.write(*s[1][1:])
-            w.write(*codes[4][s[2][0]])
-            w.write(*s[2][1:])
-        else:
-            w.write(*codes[0][s[0]])
+    written = []
+    for begin in range(0, len(symbols), 256):
+        own = _Writer()
+        for s in symbols[begin : begin + 256]:
+            if len(s) == 4:
+                a, r, g, b = s
+                for k, v in ((0, g), (1, r), (2, b), (3, a)):
+                    own.write(*codes[k][v])
+            elif len(s) == 3:
+                own.write(*codes[0][256 + s[1][0]])
+                own.write(*s[1][1:])
+                own.write(*codes[4][s[2][0]])
+                own.write(*s[2][1:])
+            else:
+                own.write(*codes[0][s[0]])
+        written.append((own.bits, own.n))
+    while len(written) > 1:  # neighbours in pairs, so that long numbers are copied seldom
+        written = [(x[0][0] | x[1][0] << x[0][1], x[0][1] + x[1][1]) if len(x) == 2 else x[0] for x in (written[i : i + 2] for i in range(0, len(written), 2))]
+    w.write(*written[0])
 
 
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = False, block_bits: int = 2, mode=lambda x, y: (x + y) % 14) -> bytes:

@@ -241,6 +241,63 @@ def test_permutation():
         assert sorted(p.permute(i, size, "x") for i in range(size)) == list(range(size))
 
 
+def test_pseudonyms_of_phones_and_addresses():
+    p = pii.Pseudonyms(b"k")
+    plain = lambda t: "".join(c for c in t if c in "+0123456789")
+    for spaced, joined, code in (("+49 30 1234567", "+49301234567", "+49"), ("+1 (743) 555-3824", "+17435553824", "+1"), ("+353 1 234 5678", "+35312345678", "+353")):
+        new = [p.text(f"call {t} now")[0][5:-4] for t in (spaced, joined)]
+        assert plain(new[0]) == plain(new[1]) != plain(spaced)
+        assert plain(new[0]).startswith(code)
+        assert [c for c in new[0] if not c.isdigit()] == [c for c in spaced if not c.isdigit()]
+    for local in ("日本", "josé", "___", "müller.1"):
+        new, spans = p.text(f"an {local}@example.com")
+        assert local not in new and new.endswith("@example.com") and [s[0] for s in spans] == ["email"]
+    assert p.text("an ann@x.org")[0] != "an ann@x.org"
+
+
+@pytest.mark.parametrize("form", ["{y:04}-{a:02}-{b:02}", "{a:02}/{b:02}/{y:04}", "{a}/{b}/{y:04}", "{a:02}.{b:02}.{y:04}", "{a}.{b:02}.{y:04}"])
+def test_dates_are_permuted_within_their_form(form):
+    import datetime
+
+    def real(y, a, b):
+        try:
+            datetime.date(y, a, b)
+            return True
+        except ValueError:
+            return False
+
+    p, valid = pii.Pseudonyms(b"k"), set()
+    pii_years, pii.YEARS = pii.YEARS, range(2015, 2017)
+    pii.dates.cache_clear()
+    try:
+        for y in (2015, 2016):
+            for a in range(1, 32):
+                for b in range(1, 32):
+                    text = form.format(y=y, a=a, b=b)
+                    wide = "{a}" in form and a > 9 or "{b}" in form and b > 9
+                    if not wide and (real(y, a, b) if form[0:2] == "{y" else real(y, b, a) or "/" in form and real(y, a, b)):
+                        valid.add(text)
+                    elif not wide:
+                        assert p.text(text) == (text, [])
+        assert {p.text(t)[0] for t in valid} == valid
+    finally:
+        pii.YEARS = pii_years
+        pii.dates.cache_clear()
+
+
+def test_detection_by_brute_force():
+    """Cards among spaced digits: every valid reading that starts and ends at a separator is found."""
+    rng = random.Random(8)
+    for _ in range(300):
+        groups = ["".join(rng.choice("0123456789") for _ in range(4)) for _ in range(rng.randint(3, 6))]
+        if rng.random() < 0.5 and len(groups) > 3:
+            body = "".join(groups[:4])[:15]
+            groups[:4] = [(body + pii.luhn_digit(body))[i : i + 4] for i in range(0, 16, 4)]
+        text = " ".join(groups)
+        wanted = any(13 <= len(d := "".join(groups[a:b])) <= 19 and pii.luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1 for a in range(len(groups)) for b in range(a + 1, len(groups) + 1))
+        assert bool(pii.Pseudonyms(b"k").text(text)[1]) == wanted, text
+
+
 def test_pseudonymize(spark):
     rows = [(1, "a 10.1.2.3", "x"), (2, "10.1.2.3 b", "y"), (3, None, "z"), (4, "", None), (4, "", None), (5, "no " * 9000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pii string")
@@ -274,6 +331,15 @@ def test_webp_refuses():
             webp.decode(bad)
 
 
+def test_webp_of_another_encoder():
+    """A published 1 x 1 lossless file that browsers' abilities are tested with."""
+    import base64
+
+    pixels, size = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert pixels.shape == (1, 1)
+    assert size == 34
+
+
 def test_near_distances():
     assert len(webp.NEAR) == 120
     assert webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)]
@@ -289,6 +355,21 @@ def test_media(spark, monkeypatch):
         payload = bytes(r.payload)
         assert payload == texts[r.doc_id].ljust(max(1, -(-len(texts[r.doc_id]) // 576)) * 576, b"\xff")
         assert r.n_bytes == len(texts[r.doc_id])
+    clashing = media.store_media(frame(spark, rows)).selectExpr("*", "1 as payload", "2 as Feature")
+    read = media.read_media(clashing)
+    assert read.columns == ["doc_id", "n_bytes", "media", "payload", "feature"]
+    assert {(r.doc_id, bytes(r.payload)) for r in read.collect()} == {(r.doc_id, bytes(r.payload)) for r in got}
+    assert media.read_media(media.store_media(frame(spark, []))).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id long, media binary")
+    assert [(r.payload, r.feature) for r in sorted(media.read_media(odd).collect())] == [(None, None), (b"", "")]
+    ways = {"few": b"abc " * 400, "again": bytes(range(32, 96)) * 90, "steps": bytes(k // 2 % 64 + 32 for k in range(0, 5760)), "prose": rows[0][1].encode()}
+    chosen = {k: media.coding(media.padded(v)) for k, v in ways.items()}
+    assert [bool(chosen[k].get("transforms")) for k in ways] == [True, False, False, False]
+    assert chosen["again"] == {"references": True, "cache_bits": 6}
+    slow = bytes(int(127 + 60 * np.sin(k / 40) + k * k % 3) for k in range(5760))
+    assert media.coding(slow)["transforms"] == (webp.PREDICTOR,)
+    for payload in (*map(media.padded, ways.values()), slow):
+        assert media.from_files(media.to_files(payload)).tobytes() == payload
     monkeypatch.setattr(media, "MOST_ROWS", 3)  # several files for one payload
     payload = bytes(range(256)) * 18
     assert media.from_files(media.to_files(payload[:4032])).tobytes() == payload[:4032]
