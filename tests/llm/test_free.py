@@ -406,6 +406,13 @@ def test_deep_shallow():
         assert strings == sorted(strings)
         assert sorted(order) == list(range(n))
         assert list(new) == [i == 0 or strings[i] != strings[i - 1] for i in range(n)]
+        if n > 1:
+            begins = np.array([0, n // 3, n // 2])
+            order, new = suffixes.deep_shallow(rows, begins)
+            for a, b in zip(begins, [*begins[1:], n], strict=True):
+                strings = [rows[i].tobytes() for i in order[a:b]]
+                assert strings == sorted(rows[i].tobytes() for i in range(a, b))
+                assert list(new[a:b]) == [i == 0 or strings[i] != strings[i - 1] for i in range(b - a)]
 
 
 @pytest.mark.parametrize("hot", [1000, 1])
@@ -416,6 +423,8 @@ def test_repeats(spark, monkeypatch, hot):
     rng = random.Random(8)
     passage = prose(rng, 60)
     rows += [(400 + i, f"{prose(rng, 12)} {passage} {prose(rng, 12)}", "en", "s", 0) for i in range(25)]
+    common = prose(rng, 25)[:110]
+    rows += [(500 + i, f"{prose(rng, 9)} {common}{i} {prose(rng, 9)}", "en", "s", 0) for i in range(60)]
     got = suffixes.remove_repeats(frame(spark, rows).withColumn("spans", F.lit("old")), depth=100).collect()
     expected = brute_repeats({r[0]: r[1] for r in rows}, 100)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == expected
