@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,9 +30,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; set here only where the session has none and all its tasks run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -85,6 +88,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The DataFrame with columns of these names under free ones, and what selects all of its own columns from it again."""
+    own, found = df, []
+    for c in df.columns:
+        other = c
+        if c.lower() in names:
+            other = free_name(own, f"own_{c}")
+            own = own.withColumnRenamed(c, other)
+        found.append((other, c))
+    return own, [F.col(f"`{a}`").alias(c) for a, c in found]
+
+
 def parallel(df: DataFrame) -> int:
     """Tasks for work that is bound by the CPU: the session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
