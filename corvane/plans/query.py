@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from ..functions.fixed import ABBREVIATIONS, COMMON_WORDS, SYNONYMS
@@ -32,10 +35,17 @@ class Unit:
 
 @dataclass
 class Vocabulary:
-    """Synonym groups by form, and other grammatical numbers of words (as from operators.index.folds)."""
+    """Synonym groups by form, and other grammatical numbers of words (as from operators.index.folds).
+
+    fallbacks: for typed words that the index doesn't have, their stems that it has (as from operators.index.fallbacks).
+    """
 
     groups: dict[str, tuple[str, ...]] = field(default_factory=dict)
     folds: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    fallbacks: dict[str, str] = field(default_factory=dict)
+
+    def numbers(self, word: str) -> tuple[str, ...]:
+        return self.folds.get(word) or tuple(filter(None, [self.fallbacks.get(word)]))
 
 
 def synonym_groups(synonyms=SYNONYMS, abbreviations=ABBREVIATIONS) -> dict[str, tuple[str, ...]]:
@@ -43,50 +53,62 @@ def synonym_groups(synonyms=SYNONYMS, abbreviations=ABBREVIATIONS) -> dict[str,
 
     Left out: short forms of under three letters, common words, and those known already.
     """
-    by_form = {form: tuple(forms) for forms in synonyms for form in forms}
-    for long, short in abbreviations:
-        if len(short) >= 3 and short not in COMMON_WORDS and short not in by_form:
-            by_form[short] = (*by_form[long], short) if long in by_form else (long, short)
-    return by_form
-
-
-def _word_units(words: list[str], vocabulary: Vocabulary) -> list[Unit]:
-    """The longest known form of up to four words each time, or a word with its other number."""
-    units, at = [], 0
-    while at < len(words):
-        for n in range(min(LONGEST_FORM, len(words) - at), 0, -1):
-            phrase = " ".join(words[at : at + n])
-            if phrase in vocabulary.groups:
-                units.append(Unit(tuple(Spelling(tuple(f.split(" "))) for f in vocabulary.groups[phrase]), phrase))
-                at += n
-                break
-        else:
-            word = words[at]
-            at += 1
-            if len(word) > 1:
-                others = vocabulary.folds.get(word, ())
-                units.append(Unit((Spelling((word,)), *(Spelling((o,), FOLD_WEIGHT) for o in others)), word))
-    return units
+    written = {form: tuple(forms) for forms in synonyms for form in forms}
+    explained = {short: long for long, short in reversed(abbreviations) if len(short) > 2}  # the first of a short form stays
+    wanted = explained.keys() - written.keys() - set(COMMON_WORDS)
+    return written | {short: (*written.get(explained[short], (explained[short],)), short) for short in wanted}
 
 
-def parse_units(text: str | None, vocabulary: Vocabulary) -> list[Unit]:
-    """Units in order; a piece with hyphens or underscores is its parts together, or all of it joined.
+class Forms:
+    """The known forms as a tree of words, in which the longest one at a place is found by a walk."""
 
-    Initials joined to a name ("e. coli") come in addition, after the other words.
-    """
-    raw, units, words = (text or "").lower().strip(), [], []
-    for piece in PIECE.findall(raw):
-        if "-" not in piece and "_" not in piece:
-            words += TOKEN.findall(piece)
-            continue
-        units += _word_units(words, vocabulary)
-        words = []
-        parts, joined = tuple(TOKEN.findall(piece)), re.sub("[-_]", "", piece)
-        spellings = ((Spelling(parts),) if parts else ()) + ((Spelling((joined,)),) if len(joined) > 1 else ())
-        if spellings:
-            units.append(Unit(spellings, piece))
-    words += [a + b for a, b in ABBREVIATED.findall(raw)]
-    return units + _word_units(words, vocabulary)
+    def __init__(self, forms):
+        self.root: dict = {}
+        for form in forms:
+            words = form.split(" ")
+            if len(words) <= LONGEST_FORM:
+                functools.reduce(lambda node, word: node.setdefault(word, {}), words, self.root)[None] = form
+
+    def longest(self, words: list[str]) -> str | None:
+        """The longest form that the words begin with."""
+        walk = itertools.accumulate(words, lambda node, word: (node or {}).get(word), initial=self.root)
+        ends = [node[None] for node in itertools.takewhile(lambda node: node is not None, walk) if None in node]
+        return ends[-1] if ends else None
+
+
+def _pieces(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of a search text's parts: compounds, words, and last the initials joined to names."""
+    for match in PIECE.finditer(text):
+        piece = match[0]
+        yield from [("compound", piece)] if {"-", "_"} & set(piece) else (("word", w) for w in TOKEN.findall(piece))
+    yield from (("word", "".join(m.groups())) for m in ABBREVIATED.finditer(text))
+
+
+def _compound(piece: str) -> Iterator[Unit]:
+    """A piece with hyphens or underscores: its parts together, or all of it joined."""
+    ways = (tuple(TOKEN.findall(piece)), tuple(w for w in [re.sub("[-_]", "", piece)] if len(w) > 1))
+    spellings = tuple(Spelling(words) for words in ways if words)
+    yield from [Unit(spellings, piece)] if spellings else []
+
+
+def _run(words: list[str], vocabulary: Vocabulary, forms: Forms) -> Iterator[Unit]:
+    """Units of words that no compound divides: known forms as long as they go, other words with their other number."""
+    while words:
+        form = forms.longest(words)
+        if form:
+            yield Unit(tuple(Spelling(tuple(other.split(" "))) for other in vocabulary.groups[form]), form)
+        elif len(words[0]) > 1:
+            yield Unit((Spelling((words[0],)), *(Spelling((w,), FOLD_WEIGHT) for w in vocabulary.numbers(words[0]))), words[0])
+        words = words[form.count(" ") + 1 if form else 1 :]
+
+
+def parse_units(text: str | None, vocabulary: Vocabulary) -> list[Unit]:
+    """Units in order. Initials joined to a name ("e. coli") come in addition, after the other words."""
+    forms, units = Forms(vocabulary.groups), []
+    for kind, group in itertools.groupby(_pieces((text or "").lower().strip()), key=lambda piece: piece[0]):
+        parts = [part for _, part in group]
+        units += _run(parts, vocabulary, forms) if kind == "word" else itertools.chain.from_iterable(map(_compound, parts))
+    return units
 
 
 def parse(text: str | None, vocabulary: Vocabulary | None = None) -> list[list[Unit]]:
