@@ -92,9 +92,22 @@ def test_similar_sets_share_a_key():
         while len(other) and len(np.intersect1d(own, other)) < 0.8 * len(np.union1d(own, other)):
             strange = np.setdiff1d(other, own)
             other = other[other != strange[0]]
-        a, b = (set(neardup.prefix_keys(x, 0.8, common).tolist()) for x in (own, other))
+        a, b = (set(np.concatenate(neardup.prefix_keys(x, 0.8, common)).tolist()) for x in (own, other))
         assert a & b, n
-    assert len(neardup.prefix_keys(np.empty(0, np.uint64), 0.8, common)) == 0
+    assert [len(x) for x in neardup.prefix_keys(np.empty(0, np.uint64), 0.8, common)] == [0, 0]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 900, 1024, 1025, 3000, 9000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for m in (0, 5, n // 4, n):
+            other = np.unique(np.concatenate([own[m:], rng.integers(0, 1 << 63, m).astype(np.uint64)]))
+            a, b = neardup.parities(own), neardup.parities(other)
+            size = min(len(a), len(b))
+            bits = [int.from_bytes(neardup.folded(x, size), "little") for x in (a, b)]
+            assert (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(own, other))
+            assert neardup.folded(a) == neardup.folded(neardup.folded(a, size))
 
 
 def test_near_duplicates_among_short_texts(spark):
