@@ -13,11 +13,28 @@ COMPOUND = "[a-z0-9]+(?:[-_][a-z0-9]+)+"
 SHARDS = 256
 
 
+#: Characters that are white space to a person: more than trim() and \s take off.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def text_of(col: Column) -> Column:
     """Missing text is empty text."""
     return F.coalesce(col, F.lit(""))
 
 
+def strip(col: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
+
+
+def valid_utf8(col: Column) -> Column:
+    """Text from bytes; those that belong to no character are left out, whatever else stands in the text."""
+    character = r"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+    single = F.decode(col.cast("binary"), "ISO-8859-1")
+    cleaned = F.decode(F.encode(F.regexp_replace(single, f"((?:{character})++)|[\\x80-\\xff]", "$1"), "ISO-8859-1"), "UTF-8")
+    return F.when(F.is_valid_utf8(col.cast("string")), col.cast("string")).otherwise(cleaned)
+
+
 def boundary_safe(col: Column) -> Column:
     """Non-ASCII letters and digits as _, other non-ASCII as |: word boundaries then are the same in every regex dialect."""
     return F.regexp_replace(F.regexp_replace(col, r"[^\x00-\x7F\p{L}\p{N}]", "|"), r"[^\x00-\x7F]", "_")
@@ -70,7 +87,7 @@ def facet_key(col: Column) -> Column:
 
 def normal_name(col: Column) -> Column:
     """A name for matching: Greek letters spelled out, no parentheses, few punctuation marks."""
-    s = F.lower(F.trim(text_of(col)))
+    s = F.lower(strip(text_of(col)))
     for letter, latin in GREEK.items():
         s = F.replace(s, F.lit(letter), F.lit(latin))
     s = F.regexp_replace(s, r"\([^)]*\)", " ")
@@ -110,7 +127,7 @@ def part_slug(code: Column) -> Column:
 
 def model_name(declared: Column, processed_by: Column, path: Column, aliases: dict[str, str] | None = None) -> Column:
     """The model that made a record: as declared, as processed by, from the file name, or unknown."""
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    blank = lambda c: F.when(strip(c) != "", strip(c))
     name = F.coalesce(blank(declared), blank(processed_by), blank(F.regexp_extract(text_of(path), r"metadata_([^/]+)\.json$", 1)), F.lit("unknown"))
     name = F.regexp_replace(F.lower(name), r"\s+", "-")
     for old, new in (aliases or {}).items():
@@ -118,13 +135,13 @@ def model_name(declared: Column, processed_by: Column, path: Column, aliases: di
     return name
 
 
-def page_url(base: Column, name: Column, year: Column) -> Column:
-    """Pages from 2022 on have an address by slug on the year's host, older ones by title."""
-    dashed = F.regexp_replace(F.lower(F.trim(name)), r"[\s_]+", "-")
-    titled = F.regexp_replace(F.trim(name), r"\s+", "_")
-    return F.when(year >= 2022, F.concat(F.lit("https://"), year.cast("string"), F.lit("."), base, F.lit("/"), dashed, F.lit("/"))).otherwise(
-        F.concat(F.lit("https://"), year.cast("string"), F.lit("."), base, F.lit("/Team:"), titled)
-    )
+def page_url(new_base: str, old_base: str, name: Column, year: Column, official: Column | None = None) -> Column:
+    """A record's page, by its official name or else its own: from 2022 on a slug on the year's new host, before that a title on the old one; empty without a name."""
+    blank = lambda c: F.when(c == "", None).otherwise(c)
+    title = strip(F.coalesce(*([blank(official)] if official is not None else []), blank(name), F.lit("")))
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    host = lambda base: F.concat(F.lit("https://"), year.cast("string"), F.lit(f".{base}/"))
+    return F.when(title == "", "").when(year >= 2022, F.concat(host(new_base), dashed, F.lit("/"))).otherwise(F.concat(host(old_base), F.lit("Team:"), F.replace(title, F.lit(" "), F.lit("_"))))
 
 
 def archive_url(url: Column, year: Column, archive: str) -> Column:
@@ -156,7 +173,7 @@ def thousands(col: Column) -> Column:
 
 
 def sentences(col: Column) -> Column:
-    return F.filter(F.split(F.trim(text_of(col)), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(strip(text_of(col)), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
 def long_date(iso: Column) -> Column:
@@ -171,4 +188,4 @@ def grounding(sections: list[tuple[str, Column]], text: Column, most: int = 120_
 
 def distinct_references(refs: Column) -> Column:
     """References without markup, each once, in the order of first sight."""
-    return F.array_distinct(F.filter(F.transform(refs, lambda x: F.trim(plain_text(x))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(refs, lambda x: strip(plain_text(x))), lambda x: x != ""))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import cumulated, globally
+
 
 def per_query(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """(qid, n_rel, first, rr, recall, ndcg, ap) from rankings (qid, doc, rank) and relevant (qid, doc); a query without hits has zeros."""
@@ -40,12 +44,16 @@ def inversions(rankings: DataFrame, value: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at a place of the sorted ones: the median at n // 2, a share p at floor(p (n - 1))."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    placed = rows.select(*by, value, n.alias("n"), at.alias("at"))
-    place = {name: F.floor(F.lit(p) * (F.col("n") - 1)) for name, p in shares.items()} | {"median": F.floor(F.col("n") / 2)}
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("at") == where, F.col(value))).alias(name) for name, where in place.items()])
+    """Values at a place of the sorted ones: the median at n // 2, a share p at floor(p (n - 1)).
+
+    Values are counted first, so that a group's places are those of its different values, whatever it has of each;
+    groups with very many of them are numbered in ranges.
+    """
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    placed = cumulated(counted, [F.col(value)], "_n", "_end", by).join(totals, by)
+    where = {name: F.floor(F.lit(p) * (F.col("_all") - 1)) for name, p in shares.items()} | {"median": F.floor(F.col("_all") / 2)}
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_end") > at, F.col(value))).alias(name) for name, at in where.items()])
 
 
 def rarest_words(rows: DataFrame, doc: str, words: Column, most: int = 8, least: int = 3) -> DataFrame:
@@ -65,10 +73,18 @@ def opening_words(text: Column, least: int = 12, most: int = 60) -> Column:
 
 
 def lineages(records: DataFrame) -> DataFrame:
-    """(qid, doc): for every record (id, doc, team, year) the others of its team, if the team has records of two years."""
-    teams = records.groupBy("team").agg(F.count("*").alias("n"), F.count_distinct("year").alias("years")).filter("n >= 2 and years >= 2")
-    own = records.join(teams, "team", "left_semi")
-    return own.select(F.col("id").alias("qid"), "team").join(own.select("team", "id", "doc"), "team").filter("id <> qid").select("qid", "doc")
+    """(team, id, doc, n_rel): the records (id, doc, team, year) of teams that have records of two years, and how many others each has.
+
+    A record's relevant documents are its team's others: rows of this table, not pairs.
+    """
+    teams = records.groupBy("team").agg((F.count("*") - 1).alias("n_rel"), F.count_distinct("year").alias("years")).filter("n_rel >= 1 and years >= 2")
+    return records.select("team", "id", "doc").join(teams.select("team", "n_rel"), "team")
+
+
+def lineage_relevant(groups: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, doc) of chosen queries (qid), from lineages()."""
+    own = queries.join(groups.select(F.col("id").alias("qid"), "team"), "qid")
+    return own.join(groups.select("team", "id", "doc"), "team").filter("id <> qid").select("qid", "doc")
 
 
 def team_of(record_id: Column) -> Column:
@@ -102,16 +118,51 @@ def cohesive_values(values: DataFrame, kind: str, least: int = 3, most: int = 25
     return values.filter((F.col("kind") == kind) & F.col("n").between(least, most) & (F.length("key") >= key_length))
 
 
-def term_queries(postings: DataFrame, least: int = 5, most: int = 40, length: int = 5) -> DataFrame:
-    """(term, df) of longer words that some documents have."""
-    return postings.filter(F.length("term") >= length).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(least, most))
+def term_queries(vocabulary: DataFrame, least: int = 5, most: int = 40, length: int = 5) -> DataFrame:
+    """(term, df) of a vocabulary's longer words of letters that some documents have."""
+    return vocabulary.filter((F.length("term") >= length) & F.col("term").rlike("^[a-z]+$") & F.col("df").between(least, most))
+
+
+def chosen(terms: DataFrame, size: int) -> DataFrame:
+    """(term, df, place): evenly spaced ones of the alphabetical list, from place 0 on; at most `size`."""
+    n = terms.count()
+    at = globally(terms, [F.col("term")], "_at").withColumn("_at", F.col("_at") - 1)
+    place = F.ceil(F.col("_at") * min(size, n) / max(n, 1)).cast("long")
+    fits = F.floor(place * n / min(size, max(n, 1))) == F.col("_at")
+    return at.filter(fits & (place < size)).withColumn("place", place).drop("_at")
+
+
+def pair_queries(postings: DataFrame, terms: DataFrame, size: int = 50, least: int = 3, most: int = 40, tries: int = 59, stride: int = 7) -> DataFrame:
+    """(a, b, n): two words that stand together in some documents. terms: chosen(), of a bounded number.
+
+    Every second word is tried with those 7, 14, .. places on (round the list), and keeps the first that shares `least`
+    to `most` documents with it; the first `size` pairs stay. Only the chosen words' postings, of at most 150 documents each, meet.
+    """
+    n = terms.count()
+    first = terms.filter(F.col("place") % 2 == 0).select(F.col("term").alias("a"), F.col("place").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("j"))
+    asked = first.withColumn("place", (F.col("i") + F.col("j") * stride) % max(n, 1)).join(terms.select("place", F.col("term").alias("b")), "place").filter("a <> b")
+    own = postings.join(terms.select("term"), "term", "left_semi").select("term", "doc")
+    met = asked.join(own.withColumnsRenamed({"term": "a"}), "a").join(own.withColumnsRenamed({"term": "b"}), ["b", "doc"])
+    shared = met.groupBy("a", "b", "i", "j").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+    best = shared.groupBy("a", "i").agg(F.min_by(F.struct("b", "n"), "j").alias("at"))
+    return best.orderBy("i").limit(size).select("a", "at.b", "at.n")
+
+
+def unexplained(found: DataFrame, least: int = 3, most: int = 25) -> DataFrame:
+    """(short, doc) of the abbreviations that some documents have only in the long form; found: synonyms.long_without_short."""
+    some = found.groupBy("short").agg(F.count_distinct("doc").alias("n")).filter(F.col("n").between(least, most))
+    return found.join(some.select("short"), "short", "left_semi").distinct()
+
+
+def random_precision(n_rel: Column, n_ranked: Column) -> Column:
+    """The precision that any order at random has on average."""
+    return n_rel / F.nullif(n_ranked, F.lit(0))
 
 
-def pair_queries(postings: DataFrame, terms: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
-    """(a, b, n): words of the list that stand together in some documents; every word has few documents, so pairs are few."""
-    own = postings.join(terms.select("term"), "term", "left_semi").select("doc", "term")
-    met = own.select("doc", F.col("term").alias("a")).join(own.select("doc", F.col("term").alias("b")), "doc").filter("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+def fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n, digest): the number of each table's rows and a checksum of them, whatever their order."""
+    parts = [df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).select(F.lit(name).alias("name"), "n", F.substring(F.sha2(F.col("h").cast("string"), 256), 1, 16).alias("digest")) for name, df in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def preflight(cards: DataFrame, lengths: DataFrame, facets: DataFrame) -> DataFrame:

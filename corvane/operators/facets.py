@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import TAIL_KINDS, keeps_value
 from ..functions.text import facet_key
+from .places import globally
 
 Filters = dict[str, list[str]]
 
@@ -28,12 +29,20 @@ def values(facets: DataFrame) -> DataFrame:
     return counted.filter(keeps_value(F.col("kind"), F.col("label"), F.col("n")))
 
 
+def value_documents(facets: DataFrame, doc: str = "doc", chunk: int = 4096) -> DataFrame:
+    """(kind, label, key, n, chunk, docs): each kept value's documents in ascending order, in rows of up to `chunk` numbers.
+
+    Documents are numbers; a value that a third of them have takes as many rows as it needs.
+    """
+    kept = facets.join(values(facets), ["kind", "label", "key"])
+    dealt = kept.withColumn("chunk", F.floor(F.col(doc) / chunk))
+    return dealt.groupBy("kind", "label", "key", "n", "chunk").agg(F.sort_array(F.collect_set(doc)).alias("docs"))
+
+
 def value_order(counted: DataFrame) -> DataFrame:
     """Ranks values within their kind: years from the latest, others by count, then label."""
-    from pyspark.sql import Window
-
-    year = F.when(F.col("kind") == "year", F.expr("try_cast(label as int)"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(year), F.desc("n"), "label")))
+    year = F.when(F.col("kind") == "year", -F.expr("try_cast(label as int)"))
+    return globally(counted, [F.coalesce(year, F.lit(1 << 30)), -F.col("n"), F.col("label")], "rank", ["kind"])
 
 
 def shown(counted: DataFrame, selected: Filters | None = None, first: int = 14, least: int = 3) -> DataFrame:

@@ -23,6 +23,10 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame  # n, avgdl
+    terms: DataFrame | None = None  # term, df, where they are stored
+
+    def vocabulary(self) -> DataFrame:
+        return vocabulary(self.postings) if self.terms is None else self.terms
 
 
 def token_counts(docs: DataFrame, doc: str, text: str | Column) -> DataFrame:
@@ -51,11 +55,14 @@ def summary_index(records: DataFrame, doc: str, fields: dict[str, Column]) -> In
 
 
 def full_text_index(docs: DataFrame, doc: str, text: str) -> Index:
-    """The plain index: terms of one document go, counts end at the largest, the mean length is over non-empty documents."""
+    """The plain index: terms of one document go, counts end at the largest, the mean length is over non-empty documents.
+
+    A stored index (sources.index_files) has all three as tables, so that texts are cut into tokens once.
+    """
     counts = token_counts(docs, doc, text).withColumnRenamed("tf", "w")
-    lengths = docs.select(F.col(doc).alias("doc"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
     common = counts.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2").select("term")
     kept = clamp(counts.join(common, "term", "left_semi"), LARGEST_COUNT).withColumn("shard", shard_of(F.col("term")))
+    lengths = docs.select(F.col(doc).alias("doc"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), 2).alias("avgdl"))
     return Index(kept, lengths, stats)
 
@@ -74,22 +81,27 @@ def clamp(weights: DataFrame, most: int) -> DataFrame:
     return weights.withColumn("w", F.least("w", F.lit(most).cast("long")))
 
 
-def stems(vocabulary: DataFrame, least_df: int = FOLD_LEAST_DF) -> DataFrame:
-    """(term, stem) of a vocabulary (term, df): the first of -ies to -y, -s and -es whose stem is frequent."""
+def stems_of(words: DataFrame, vocabulary: DataFrame, least_df: int = FOLD_LEAST_DF) -> DataFrame:
+    """(term, stem) of words (term): the first of -ies to -y, -s and -es whose stem is frequent in the vocabulary (term, df)."""
     cut = lambda n, end="": F.concat(F.substring("term", F.lit(1), F.length("term") - n), F.lit(end))
     candidates = F.array(
         F.when(F.col("term").endswith("ies") & (F.length("term") >= 6), cut(3, "y")),
         F.when(F.col("term").endswith("s") & (F.length("term") >= 4), cut(1)),
         F.when(F.col("term").rlike("(s|x|z|ch|sh)es$") & (F.length("term") >= 5), cut(2)),
     )
-    tried = vocabulary.select("term", F.posexplode(candidates).alias("rule", "stem")).filter("stem is not null")
+    tried = words.select("term", F.posexplode(candidates).alias("rule", "stem")).filter("stem is not null")
     known = vocabulary.filter(F.col("df") >= least_df).select(F.col("term").alias("stem"))
     return tried.join(known, "stem").groupBy("term").agg(F.min_by("stem", "rule").alias("stem"))
 
 
+def fallbacks(words: DataFrame, vocabulary: DataFrame, least_df: int = FOLD_LEAST_DF) -> DataFrame:
+    """(term, stem) of typed words (term) that the vocabulary lacks: such a word also finds its stem."""
+    return stems_of(words.join(vocabulary, "term", "left_anti"), vocabulary, least_df)
+
+
 def folds(vocabulary: DataFrame, least_df: int = FOLD_LEAST_DF) -> DataFrame:
     """(term, other): grammatical number both ways."""
-    found = stems(vocabulary, least_df)
+    found = stems_of(vocabulary.select("term"), vocabulary, least_df)
     return found.select("term", F.col("stem").alias("other")).unionByName(found.select(F.col("stem").alias("term"), F.col("term").alias("other"))).distinct()
 
 

@@ -6,34 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical, is_junk_name
-from ..functions.text import part_code, part_slug, text_of
+from ..functions.fixed import NOT_TEAMS
+from ..functions.text import model_name, part_code, part_slug, strip, text_of
 
 ITEM = "struct<name:string,importance:string,role:string>"
 ITEMS = f"array<{ITEM}>"
 KINDS = {"chassis": "chassis_organisms", "technique": "molecular_techniques", "part": "biological_parts", "molecule": "target_molecules"}
+TEXTS = ("summary", "problem_statement", "approach_statement", "novelty_claim")
+LISTS = ("key_results", "failure_modes", "key_references")
 #: The order in which core names are listed.
 CORE_ORDER = ("chassis", "technique", "part", "molecule")
 
 
+def _elements(raw: Column) -> Column:
+    """The elements of JSON text that is a list, as variants."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _string(x: Column, path: str = "$") -> Column:
+    """A variant's text at a path if it is text there, else null."""
+    found = F.try_variant_get(x, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(x, path, "string"))
+
+
+def strings_of(raw: Column) -> Column:
+    """The texts of a list as JSON; what else it holds goes."""
+    return F.filter(F.transform(_elements(raw), lambda x: _string(x)), lambda x: x.isNotNull())
+
+
 def items_of(raw: Column) -> Column:
-    """Items from JSON text that is a list of objects or strings, or one scalar.
+    """Items from a list as JSON of objects or texts, or from one text, quoted as JSON or as it is.
 
     Objects keep name, importance (lower case, "mentioned" unless given) and role; a bare
-    string or scalar is a core item. Blank names go.
+    text is a core item. Blank names, and whatever is neither object nor text, go.
     """
-    trimmed = F.trim(text_of(raw))
-    elements = F.when(trimmed.startswith("["), F.from_json(trimmed, "array<string>")).when((trimmed == "") | (trimmed == "null"), F.array().cast("array<string>")).otherwise(
-        F.array(F.when(trimmed.rlike('^".*"$'), F.get_json_object(F.concat(F.lit('{"v":'), trimmed, F.lit("}")), "$.v")).otherwise(trimmed))
-    )
+    stripped = strip(text_of(raw))
 
     def item(x: Column) -> Column:
-        is_object = F.trim(x).startswith("{")
-        name = F.when(is_object, F.get_json_object(x, "$.name")).otherwise(x)
-        importance = F.when(is_object, F.lower(F.trim(F.coalesce(F.get_json_object(x, "$.importance"), F.lit("mentioned"))))).otherwise("core")
-        role = F.when(is_object, F.coalesce(F.get_json_object(x, "$.role"), F.lit(""))).otherwise("")
-        return F.struct(F.trim(text_of(name)).alias("name"), F.when(importance == "", "mentioned").otherwise(importance).alias("importance"), role.alias("role")).cast(ITEM)
+        bare = _string(x)
+        given = lambda key, default: F.coalesce(F.nullif(F.try_variant_get(x, f"$.{key}", "string"), F.lit("")), F.lit(default))
+        importance = F.when(bare.isNotNull(), "core").otherwise(F.lower(given("importance", "mentioned")))
+        role = F.when(bare.isNotNull(), "").otherwise(given("role", ""))
+        return F.struct(strip(text_of(F.coalesce(bare, _string(x, "$.name")))).alias("name"), importance.alias("importance"), role.alias("role")).cast(ITEM)
 
-    return F.filter(F.transform(elements, item), lambda x: x["name"] != "")
+    single = F.coalesce(_string(F.try_parse_json(F.when(stripped.startswith('"'), stripped))), stripped)
+    one = F.array(F.struct(strip(single).alias("name"), F.lit("core").alias("importance"), F.lit("").alias("role")).cast(ITEM))
+    found = F.when(stripped.startswith("["), F.transform(_elements(stripped), item)).when(stripped.startswith("{") | (stripped == "null"), F.array().cast(ITEMS)).otherwise(one)
+    return F.filter(found, lambda x: x["name"] != "")
 
 
 def names(items: Column) -> Column:
@@ -55,17 +74,34 @@ def coded_parts(items: Column) -> Column:
     return F.transform(items, lambda x: F.struct(x["name"].alias("name"), x["importance"].alias("importance"), x["role"].alias("role"), code(x).alias("registry_id"), part_slug(code(x)).alias("registry_slug")))
 
 
-def build_records(raw: DataFrame) -> DataFrame:
-    """Records from raw ones (slug, year, name, ..): junk names go, items are parsed, facets f and core names are added.
+def build_records(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Records from raw ones (slug, year, team, path and the columns below, all text): junk names go.
 
-    Item columns hold JSON text; missing text is empty.
+    Texts without a value are empty, lists keep their texts, items are parsed; the model's name follows from what is
+    declared or the file's name. f has the facets domain, year and the labels of every item column; core the names of core items.
     """
-    kept = raw.filter(~is_junk_name(F.col("name")))
-    parsed = kept.select(*[c for c in kept.columns if c not in KINDS.values()], *[items_of(F.col(c)).alias(c) for c in KINDS.values()])
-    facets = F.create_map(*[x for kind, c in KINDS.items() for x in (F.lit(kind), labels(kind, F.col(c)))])
+    kept = raw.withColumn("name", strip(F.coalesce(F.nullif(F.col("team"), F.lit("")), F.lit("")))).filter(~is_junk_name(F.col("name")) & ~F.col("slug").isin(*sorted(NOT_TEAMS)))
+    items = {kind: items_of(F.col(c)) for kind, c in KINDS.items()}
+    given = kept.select(
+        F.concat_ws("-", "slug", F.col("year").cast("string")).alias("id"), "slug", "year", "name", *[text_of(F.col(c)).alias(c) for c in TEXTS], *[strings_of(F.col(c)).alias(c) for c in LISTS],
+        *[items[kind].alias(c) for kind, c in KINDS.items()], *[strip(text_of(F.col(c))).alias(c) for c in ("track", "application_domain")], model_name(F.col("model"), F.col("processed_by"), F.col("path"), aliases).alias("model"),
+    )
+    domain = canonical("domain", F.col("application_domain"))
+    labelled = {"domain": F.when(domain.isNotNull(), F.array(domain)), **{kind: labels(kind, F.col(c)) for kind, c in KINDS.items()}, "year": F.array(F.col("year").cast("string"))}
+    facets = F.map_filter(F.create_map(*[x for kind, c in labelled.items() for x in (F.lit(kind), c)]), lambda _, v: F.size(F.coalesce(v, F.array().cast("array<string>"))) > 0)
     core = F.concat(*[core_names(F.col(KINDS[k])) for k in CORE_ORDER])
-    with_facets = parsed.withColumn("f", facets).withColumn("core", core)
-    return with_facets.withColumn("id", F.concat_ws("-", "slug", F.col("year").cast("string"))).withColumn("biological_parts", coded_parts(F.col("biological_parts"))).withColumn("target_molecules", names(F.col("target_molecules")))
+    full = given.withColumn("f", facets).withColumn("core", core)
+    return full.withColumn("biological_parts", coded_parts(F.col("biological_parts"))).withColumn("target_molecules", names(F.col("target_molecules")))
+
+
+def with_cards(results: DataFrame, cards: DataFrame) -> DataFrame:
+    """Results (doc, ..) with what is shown of each document; a result without a card is left out."""
+    return results.join(cards, "doc")
+
+
+def by_id(records: DataFrame, ids: list[str]) -> DataFrame:
+    """Records by their id, whatever its case."""
+    return records.filter(F.lower("id").isin(*[i.lower() for i in ids]))
 
 
 def searchable_names(*arrays: Column, more: tuple[Column, ...] = ()) -> Column:
@@ -77,7 +113,7 @@ def cards(records: DataFrame) -> DataFrame:
     """What a list of results shows of a record."""
     domain = F.coalesce(F.nullif(F.col("application_domain"), F.lit("")), F.col("track"), F.lit(""))
     return records.select(
-        "doc", "id", F.col("name"), "year", domain.alias("domain"), "summary", (F.trim(text_of(F.col("summary"))) == "").alias("needs_summary"),
+        "doc", "id", F.col("name"), "year", domain.alias("domain"), "summary", (strip(text_of(F.col("summary"))) == "").alias("needs_summary"),
         F.slice("chassis_organisms", 1, 4).alias("chassis"), F.slice("molecular_techniques", 1, 4).alias("techniques"), F.slice("target_molecules", 1, 3).alias("molecules"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.facets import Filters, filtered
 from ..operators.index import Index
+from ..operators.places import globally
 from .query import Unit, words_of
 
 #: BM25's parameters, and where tails end.
@@ -21,8 +22,7 @@ SCORE_DIGITS = 9
 
 def document_frequencies(index: Index, words: list[str]) -> dict[str, int]:
     """At most one row for each word of the query reaches the driver."""
-    found = index.postings.filter(F.col("term").isin(*words)).groupBy("term").count().collect()
-    return {r["term"]: r["count"] for r in found}
+    return {r["term"]: r["df"] for r in index.vocabulary().filter(F.col("term").isin(*words)).collect()}
 
 
 def idf(n: int, df: int) -> float:
@@ -94,8 +94,9 @@ def batch(index: Index, queries: DataFrame) -> DataFrame:
     """
     stats = index.stats.first()
     n, avgdl = stats["n"], float(stats["avgdl"] or 1.0)
-    used = index.postings.join(queries.select(F.col("word").alias("term")).distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    terms = queries.select(F.col("word").alias("term")).distinct()
+    used = index.postings.join(terms, "term", "left_semi")
+    df = index.vocabulary().join(terms, "term", "left_semi")
     known = queries.join(df, queries["word"] == df["term"])
     inverse = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = inverse * F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("dl") / avgdl))
@@ -114,12 +115,12 @@ def batch_ranked(scores: DataFrame, k: int) -> DataFrame:
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Adds rank: by score (rounded, so that equal documents tie whatever the order of addition), then document."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", SCORE_DIGITS)), "doc")))
+    return globally(scores, score_order(), "rank")
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
     """The k best; each task keeps k."""
-    return scores.orderBy(F.desc(F.round("score", SCORE_DIGITS)), "doc").limit(k)
+    return scores.orderBy(*score_order()).limit(k)
 
 
 def page(scores: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -159,7 +160,7 @@ def mentions(index: Index, units: list[Unit]) -> DataFrame:
 
 
 def mention_order() -> list[Column]:
-    return [F.desc("hits"), F.desc("total"), F.asc("dl"), F.asc("doc")]
+    return [-F.col("hits"), -F.col("total"), F.col("dl"), F.col("doc")]
 
 
 def mention_tail(index: Index, groups: list[list[Unit]], primary: DataFrame | None = None) -> DataFrame:
@@ -175,15 +176,24 @@ def mention_tail(index: Index, groups: list[list[Unit]], primary: DataFrame | No
 
 
 def segmented(*segments: tuple[str, DataFrame, list[Column]]) -> DataFrame:
-    """(segment, place, doc): results one after the other, each in its own order, a document only where it comes first."""
+    """(segment_no, segment, place, doc): results one after the other, each in its own ascending order, a document only where it comes first."""
     rows, before = None, None
     for i, (name, docs, order) in enumerate(segments):
         own = docs if before is None else docs.join(before, "doc", "left_anti")
-        placed = own.select("doc", F.lit(i).alias("segment_no"), F.lit(name).alias("segment"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+        placed = globally(own, order, "place").select("doc", F.lit(i).alias("segment_no"), F.lit(name).alias("segment"), "place")
         rows = placed if rows is None else rows.unionByName(placed)
         before = docs.select("doc") if before is None else before.unionByName(docs.select("doc"))
     return rows
 
 
+def hybrid(primary: DataFrame, concepts: DataFrame, full_text: DataFrame | None = None) -> DataFrame:
+    """The three segments of a search in hybrid mode: what matches, what is alike, and what mentions the words.
+
+    concepts: (doc, score), e.g. of vectors.concept_tail; full_text: (doc, hits, total, dl), of mentions or mention_tail.
+    """
+    own = [("lexical", primary, score_order()), ("concept", concepts, score_order())]
+    return segmented(*own, *([("full_text", full_text, mention_order())] if full_text is not None else []))
+
+
 def score_order() -> list[Column]:
-    return [F.desc(F.round("score", SCORE_DIGITS)), F.asc("doc")]
+    return [-F.round("score", SCORE_DIGITS), F.col("doc")]
