@@ -21,17 +21,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc", "score", "rank"]
 
 
-def test_fuzzy_names(spark):
-    rows = {r.id: (r.row, r.match) for r in queries.entity_fuzzy(spark, DATA).collect()}
-    assert rows[11] == (5, "fuzzy")
-    assert rows[8] == (None, "unmatched")
-
-
 def test_or_widens_and_and_narrows(spark):
     from corvane.plans import search
     from corvane.plans.query import Vocabulary, parse
 
-    index = queries.primary(queries.documents(spark, DATA))
+    index = queries.primary(spark, DATA)
     docs = lambda q: {r.doc for r in search.lexical(index, parse(q, Vocabulary())).collect()}
     a, b, both, either = docs("that"), docs("with"), docs("that with"), docs("that or with")
     assert both == a & b
