@@ -40,20 +40,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The tables that operators stored and nobody dropped yet, by application.
+_STORED: dict[str, set[str]] = {}
+
+
 class Stored:
     """A DataFrame written as Parquet in the shared folder: it cuts the lineage and outlives a lost executor."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        _STORED.setdefault(self.spark.sparkContext.applicationId, set()).add(self.path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Deletes the files; for tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, self.path)
+        _STORED[self.spark.sparkContext.applicationId].discard(self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes all tables that operators stored in this session, and returns their number.
+
+    For callers who have written the results: DataFrames returned before read some of these tables.
+    """
+    paths = _STORED.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

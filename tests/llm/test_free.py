@@ -160,6 +160,49 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify_language(docs.limit(3), None).collect()} == {"und"}
 
 
+def test_quality_accuracy(spark):
+    """Held-out labelled documents of the driver's tables: right, and in the right order."""
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels, is_training)
+    scored = quality.score_quality(docs, model, keep=["doc_id"]).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").filter("label is not null")
+    rows = [r for r in scored.collect() if held_out(r.doc_id)]
+    right = [(r.score >= 0.5) == (r.label == 1) for r in rows]
+    good, bad = ([r.score for r in rows if r.label == k] for k in (1, 0))
+    assert len(rows) > 60 and len(bad) > 5
+    assert sum(right) >= 0.97 * len(right), sum(right) / len(right)
+    assert sum(g > b for g in good for b in bad) >= 0.99 * len(good) * len(bad)
+
+
+def test_empty_tables(spark):
+    from corvane.llm import urls
+
+    docs = frame(spark, documents())
+    none = docs.limit(0)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    language = langid.fit_language_model(docs, F.lit(True))
+    assert langid.identify_language(none, language).count() == 0
+    model = quality.fit_quality(docs, labels, lambda c: F.lit(True))
+    assert quality.score_quality(none, model).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge_urls(pages, urls.rule_table(spark, queries.URL_RULES), [4, 5]).count() == 0
+
+
+def test_streams_are_read_whole():
+    """Every byte is in one segment, with its neighbours around it."""
+    rng = random.Random(2)
+    streams = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 159, 160, 161, 1000)] + [b""]
+    x, owner, valid = langid.segments(streams)
+    for i, own in enumerate(streams):
+        parts = [bytes(row[langid.MARGIN : langid.MARGIN + n]) for row, n in zip(x[owner == i], valid[owner == i], strict=True)]
+        assert b"".join(parts) == own
+    padded = bytes(langid.MARGIN) + streams[4] + bytes(langid.SEGMENT + langid.MARGIN)
+    assert bytes(x[owner == 4][2]) == padded[2 * langid.SEGMENT :][: langid.SEGMENT + 2 * langid.MARGIN]
+    model = langid.LanguageModel(["a", "b"], langid.Direction(4, np.random.default_rng(0)), langid.Direction(4, np.random.default_rng(1)), np.random.default_rng(2).normal(size=(8, 2)).astype(np.float32), np.zeros(2, np.float32))
+    slow = np.concatenate([model.ahead.forward(x)[0], model.back.forward(x[:, ::-1])[0][::-1]], axis=2) @ model.out
+    slow -= np.log(np.exp(slow).sum(axis=2, keepdims=True))
+    assert np.abs(model.labels(x) - slow).max() < 1e-4
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     unit = langid.Direction(4, rng)

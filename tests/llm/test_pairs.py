@@ -142,3 +142,57 @@ def test_mutual_copies_without_an_original(spark):
     found = {r.id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert found == roots
     assert 3 <= len(set(roots.values())) < 150
+
+
+def test_near_duplicates_of_the_test_data(spark):
+    """All groups that a comparison of all pairs gives, on the driver's documents: recall 1."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: neardup.shingles(r.text, 5).tolist() for r in docs.select("doc_id", "text").collect()}
+    holders, shared = {}, Counter()
+    for i, own in sorted(sets.items()):
+        for h in own:
+            for j in holders.setdefault(h, []):
+                shared[j, i] += 1
+            holders[h].append(i)
+    empty = [i for i, own in sets.items() if not own]
+    linked = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)] + [(empty[0], i) for i in empty[1:]]
+    expected = roots_of(sorted(sets), linked)
+    assert {r.id: r.component_id for r in neardup.near_duplicate_groups(docs).collect()} == expected
+    assert sum(sets[a] != sets[b] for a, b in linked) >= 10  # near ones, not copies alone
+
+
+def test_simhash_of_the_test_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = {r.doc_id: plain_fingerprint("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")) for r in docs.select("doc_id", "text").collect()}
+    ids, codes = np.array(list(prints)), np.array(list(prints.values()), np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2, 1))
+    expected = roots_of(sorted(prints), [(int(ids[a]), int(ids[b])) for a, b in near])
+    found = simhash.simhash_components(docs).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {i: (f"{prints[i]:016x}", expected[i]) for i in prints}
+
+
+def test_a_dense_key_is_searched_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 9, 2000).astype(np.uint64))
+    keys = np.zeros(len(codes), np.int64)
+    pairs = lambda: {(int(i), int(j)) for a, b, _ in simhash.GrayIndex(keys, codes).pairs(2) for i, j in zip(a, b, strict=True)}
+    whole = pairs()
+    monkeypatch.setattr(simhash, "OPEN", 64)
+    sizes = [len(a) for a, _, _ in simhash.GrayIndex(keys, codes).pairs(2)]
+    assert pairs() == whole
+    assert max(sizes) <= 64
+
+
+def test_stored_tables_are_dropped(spark):
+    import os
+
+    from corvane.llm import common
+
+    common.drop_stored(spark)
+    common.store(spark.range(3), "some")
+    (path,) = common._STORED[spark.sparkContext.applicationId]
+    assert os.path.isdir(path.removeprefix("file://"))
+    assert common.drop_stored(spark) == 1
+    assert not os.path.exists(path.removeprefix("file://"))
