@@ -63,7 +63,7 @@ def _variants(docs: DataFrame, text: str, exact: DataFrame, depth: int, min_docs
     lines = docs.select(F.explode(_lines(F.col(text))).alias("raw")).select(masked(F.col("raw"), similarity).alias("text")).filter("text <> ''")
     lines = lines.withColumn("leaf", leaf_of(F.col("text"), depth)).withColumn("slot", F.pmod("leaf", F.lit(SLOTS)))
     near = lines.join(F.broadcast(slots), "slot", "left_semi")  # at most SLOTS numbers
-    texts = near.select(F.xxhash64("text").alias("line"), F.hash("text").alias("check"), "text").groupBy("line", "check").agg(F.min("text").alias("text"))
+    texts = near.select(F.xxhash64("text").alias("line"), F.hash("text").alias("check"), "text").distinct()
     tokens = wanted.join(texts, ["line", "check"]).select("leaf", "line", "check", "n", F.posexplode(F.split("text", " ", -1)).alias("pos", "token"))
     tokens = store(tokens, "tokens")
     support = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter(f"support >= {min_docs}").select("leaf", "pos", "token", F.lit(1).alias("same"))
