@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,14 @@ LARGEST_COUNT = 255
 FOLD_LEAST_DF = 20
 
 
+#: How a table that is read more than once is kept: as it is, or stored.
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 @dataclass
 class Index:
     """Tables of one index; words of a search meet postings by a literal filter, so sort or partition these by term."""
@@ -46,27 +55,32 @@ def _with_weight(terms: Column, weight: Column) -> Column:
     return F.transform(terms, lambda t: F.struct(t.alias("term"), weight.alias("w")))
 
 
-def summary_index(records: DataFrame, doc: str, fields: dict[str, Column]) -> Index:
-    """The weighted index: lengths count every weight; short terms of one document and weights beyond the largest are cut."""
-    weights = field_weighted(records, doc, fields)
-    all_docs = records.select(F.col(doc).alias("doc"))
-    lengths = all_docs.join(weights.groupBy("doc").agg(F.sum("w").alias("dl")), "doc", "left").select("doc", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
-    return Index(clamp(pruned(weights), LARGEST_WEIGHT), lengths, statistics(lengths))
+def summary_index(records: DataFrame, doc: str, fields: dict[str, Column], keep: Keep = _as_it_is) -> Index:
+    """The weighted index: lengths count every weight; short terms of one document and weights beyond the largest are cut.
 
+    keep: stores the weights, which postings and lengths both read, so that texts are cut into tokens once.
+    """
+    weights = keep(field_weighted(records, doc, fields))
+    lengths = _lengths(records.select(F.col(doc).alias("doc")), weights)
+    return Index(clamp(pruned(weights), LARGEST_WEIGHT), lengths, statistics(lengths))
 
-def full_text_index(docs: DataFrame, doc: str, text: str) -> Index:
-    """The plain index: terms of one document go, counts end at the largest, the mean length is over non-empty documents.
 
-    A stored index (sources.index_files) has all three as tables, so that texts are cut into tokens once.
-    """
-    counts = token_counts(docs, doc, text).withColumnRenamed("tf", "w")
+def full_text_index(docs: DataFrame, doc: str, text: str, keep: Keep = _as_it_is) -> Index:
+    """The plain index: terms of one document go, counts end at the largest, the mean length is over non-empty documents. keep: as above."""
+    counts = keep(token_counts(docs, doc, text).withColumnRenamed("tf", "w"))
     common = counts.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2").select("term")
     kept = clamp(counts.join(common, "term", "left_semi"), LARGEST_COUNT).withColumn("shard", shard_of(F.col("term")))
-    lengths = docs.select(F.col(doc).alias("doc"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
+    lengths = _lengths(docs.select(F.col(doc).alias("doc")), counts)
     stats = lengths.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), 2).alias("avgdl"))
     return Index(kept, lengths, stats)
 
 
+def _lengths(all_docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc, dl) of all documents: the sum of their weights."""
+    sums = weights.groupBy("doc").agg(F.sum("w").alias("dl"))
+    return all_docs.join(sums, "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+
+
 def statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 2).alias("avgdl"))
 

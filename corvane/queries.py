@@ -48,19 +48,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), "text", F.col("text").alias("summary"), "lang", "source", "n_chars", size.alias("size"))
 
 
-def primary_of(docs: DataFrame) -> index.Index:
+def primary_of(docs: DataFrame, **keep) -> index.Index:
     fields = {"name": F.col("source"), "core": F.col("lang"), "support": F.concat_ws(" ", "lang", "source"), "body": F.col("summary")}
-    return index.summary_index(docs, "doc", fields)
+    return index.summary_index(docs, "doc", fields, **keep)
 
 
 def primary(spark: SparkSession, sf_dir: str) -> index.Index:
     """The weighted index, stored."""
-    return indexed(spark, f"{sf_dir}/documents.parquet", "primary", lambda: primary_of(documents(spark, sf_dir)))
+    return indexed(spark, f"{sf_dir}/documents.parquet", "primary", lambda keep: primary_of(documents(spark, sf_dir), keep=keep))
 
 
 def full_text(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index of all texts, stored."""
-    return indexed(spark, f"{sf_dir}/documents.parquet", "full_text", lambda: index.full_text_index(documents(spark, sf_dir), "doc", "text"))
+    return indexed(spark, f"{sf_dir}/documents.parquet", "full_text", lambda keep: index.full_text_index(documents(spark, sf_dir), "doc", "text", keep))
 
 
 def document_facets(docs: DataFrame) -> DataFrame:

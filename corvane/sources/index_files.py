@@ -6,11 +6,12 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, full_text_index, vocabulary
+from ..operators.index import Index, vocabulary
 
 #: Rows of a row group of postings, about: what a search reads for one rare term.
 GROUP_BYTES = 1 << 20
@@ -33,17 +34,27 @@ def write_index(index: Index, path: str, files: int | None = None) -> None:
     index.stats.coalesce(1).write.parquet(f"{path}/stats")
 
 
+class Kept:
+    """Stores a table below a folder; drop() deletes what was stored."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.path = spark, f"{folder}/kept-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(self.path)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """An index as it was written; searches push their terms down to its files."""
     read = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats", "vocabulary")}
     return Index(read["postings"], read["lengths"], read["stats"], read["vocabulary"])
 
 
-def write_full_text(docs: DataFrame, doc: str, text: str, path: str) -> None:
-    """The full-text index of documents, whose texts are cut into tokens once."""
-    write_index(full_text_index(docs, doc, text), path)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a session whose tasks all run in this process may do without one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -71,11 +82,12 @@ def version_of(spark: SparkSession, path: str) -> str:
 _BUILT: dict[tuple, str] = {}
 
 
-def indexed(spark: SparkSession, source: str, kind: str, build) -> Index:
-    """The index of a table's files, built by build() at its first use in a session and read from then on."""
+def indexed(spark: SparkSession, source: str, kind: str, build: Callable[[Kept], Index]) -> Index:
+    """The index of a table's files, built by build(keep) at its first use in a session and read from then on."""
     key = (spark.sparkContext.applicationId, source, version_of(spark, source), kind)
     if key not in _BUILT:
-        path = f"{shared_folder(spark)}/index-{kind}-{uuid.uuid4().hex}"
-        write_index(build(), path)
+        path, keep = f"{shared_folder(spark)}/index-{kind}-{uuid.uuid4().hex}", Kept(spark, shared_folder(spark))
+        write_index(build(keep), path)
+        keep.drop()
         _BUILT[key] = path
     return open_index(spark, _BUILT[key])
