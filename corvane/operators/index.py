@@ -68,9 +68,14 @@ def summary_index(records: DataFrame, doc: str, fields: dict[str, Column], keep:
 def full_text_index(docs: DataFrame, doc: str, text: str, keep: Keep = _as_it_is) -> Index:
     """The plain index: terms of one document go, counts end at the largest, the mean length is over non-empty documents. keep: as above."""
     counts = keep(token_counts(docs, doc, text).withColumnRenamed("tf", "w"))
+    return index_of_counts(counts, docs.select(F.col(doc).alias("doc")))
+
+
+def index_of_counts(counts: DataFrame, all_docs: DataFrame) -> Index:
+    """The plain index of (term, doc, w) and all documents (doc)."""
     common = counts.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2").select("term")
     kept = clamp(counts.join(common, "term", "left_semi"), LARGEST_COUNT).withColumn("shard", shard_of(F.col("term")))
-    lengths = _lengths(docs.select(F.col(doc).alias("doc")), counts)
+    lengths = _lengths(all_docs, counts)
     stats = lengths.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("dl") > 0, F.col("dl"))), 2).alias("avgdl"))
     return Index(kept, lengths, stats)
 

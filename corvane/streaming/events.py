@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import token_counts
+from ..operators.index import Index, index_of_counts, token_counts
 
 #: Where each provider's event has its text.
 TEXT_PATHS = ("$.choices[0].delta.content", "$.delta.text", "$.candidates[0].content.parts[0].text")
@@ -38,9 +38,20 @@ def valid_provider(identifier: Column, base: Column, kind: Column) -> Column:
 
 
 def maintain_postings(docs: DataFrame, doc: str, text: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the postings of new documents, one folder a batch, so that a batch that is tried again replaces itself."""
+    """Appends the counts and the documents of new texts, one folder a batch, so that a batch that is tried again replaces itself.
+
+    A document that comes again replaces its earlier text when the index is read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        token_counts(batch, doc, text).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        token_counts(batch, doc, text).withColumnRenamed("tf", "w").write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        batch.select(F.col(doc).alias("doc")).distinct().write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintained_index(spark: SparkSession, path: str) -> Index:
+    """The full-text index of all that a stream has brought so far; write it by sources.index_files for searches."""
+    last = spark.read.parquet(f"{path}/docs").groupBy("doc").agg(F.max("batch").alias("batch"))
+    counts = spark.read.parquet(f"{path}/counts").join(last, ["doc", "batch"]).select("term", "doc", "w")
+    return index_of_counts(counts, last.select("doc"))

@@ -218,12 +218,20 @@ def test_events(spark):
 
 
 def test_postings_kept_by_a_stream(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb")], "doc long, text string")
-    docs.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
-    for _ in range(2):  # the second start finds nothing new
-        events.maintain_postings(stream, "doc", "text", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert {(r.term, r.doc, r.tf) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("aa", 1, 2), ("bb", 1, 1), ("bb", 2, 1)}
+    arrivals = [[(1, "aa bb aa"), (2, "bb cc")], [(2, "aa dd dd"), (3, "dd"), (4, "")]]
+    schema = "doc long, text string"
+    for batch in arrivals:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        for _ in range(2):  # the second start finds nothing new
+            events.maintain_postings(stream, "doc", "text", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    kept = events.maintained_index(spark, f"{tmp_path}/out")
+    now = index.full_text_index(spark.createDataFrame(list(dict(arrivals[0] + arrivals[1]).items()), schema), "doc", "text")
+    for name in ("postings", "lengths", "stats"):
+        assert sorted(map(tuple, getattr(kept, name).collect())) == sorted(map(tuple, getattr(now, name).collect()))
+    index_files.write_index(kept, f"{tmp_path}/index", files=2)
+    found = search.mentions(index_files.open_index(spark, f"{tmp_path}/index"), parse("aa", Vocabulary())[0]).collect()
+    assert {(r.doc, r.hits, r.dl) for r in found} == {(1, 2, 3), (2, 1, 3)}
 
 
 def test_addresses(spark):
