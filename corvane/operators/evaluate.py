@@ -56,6 +56,11 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_end") > at, F.col(value))).alias(name) for name, at in where.items()])
 
 
+def known_item_text(summary: Column, problem: Column) -> Column:
+    """What a record's query is mined from: its summary, or without one the problem."""
+    return F.coalesce(F.nullif(summary, F.lit("")), problem, F.lit(""))
+
+
 def rarest_words(rows: DataFrame, doc: str, words: Column, most: int = 8, least: int = 3) -> DataFrame:
     """(doc, query): the rarest different words of a text (by document frequency, then from the end of the alphabet)."""
     spread = rows.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(words)).alias("term"))

@@ -101,3 +101,21 @@ def disjunctive_counts(docs: DataFrame, facets: DataFrame, filters: Filters | No
     for k in kinds:
         counts_here = F.when(F.col("kind") == k, passing(k)).otherwise(counts_here)
     return facets.join(flags, "doc").filter(counts_here).groupBy("kind", "key", "label").agg(F.count("*").alias("n"))
+
+
+def pools(docs: DataFrame, facets: DataFrame, filters: Filters | None) -> DataFrame:
+    """Documents (doc, ..) once for each pool that they are in: `pool` is empty where they pass all filters, and a kind where they pass all but its own."""
+    kinds = active(filters)
+    if not kinds:
+        return docs.withColumn("pool", F.lit(""))
+    flags = docs.join(_matches(facets, kinds), "doc", "left").na.fill(False, [f"is_{k}" for k in kinds])
+    passing = lambda but: reduce(lambda a, b: a & b, (F.col(f"is_{k}") for k in kinds if k != but), F.lit(True))
+    listed = F.array_compact(F.array(*[F.when(passing(k), k or "") for k in (None, *kinds)]))
+    return flags.select(*docs.columns, F.explode(listed).alias("pool"))
+
+
+def pooled_counts(members: DataFrame, facets: DataFrame, filters: Filters | None) -> DataFrame:
+    """(kind, key, label, n): each kind over its own pool of (doc, pool), kinds without a choice over the pool of all filters."""
+    own = F.when(F.col("kind").isin(*active(filters)), F.col("kind")).otherwise("")
+    met = facets.withColumn("pool", own).join(members.select("doc", "pool").distinct(), ["doc", "pool"])
+    return met.groupBy("kind", "key", "label").agg(F.count("*").alias("n"))

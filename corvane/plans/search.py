@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.facets import Filters, filtered
+from ..operators.facets import Filters, filtered, pools
 from ..operators.index import Index
 from ..operators.places import globally
 from .query import Unit, words_of
@@ -195,5 +195,18 @@ def hybrid(primary: DataFrame, concepts: DataFrame, full_text: DataFrame | None
     return segmented(*own, *([("full_text", full_text, mention_order())] if full_text is not None else []))
 
 
+def hybrid_pools(primary: DataFrame, concepts: DataFrame, full_text: DataFrame, facets: DataFrame, filters: Filters | None, k: int = 400) -> DataFrame:
+    """(doc, pool): what a search in hybrid mode finds under all filters, and under all but each kind's own.
+
+    primary (doc, ..), concepts (doc, score) without a limit and full_text (doc, ..) are unfiltered. A pool has the k documents
+    most alike of its own, since the tail is cut after filtering; one ranking serves all pools.
+    """
+    alike = pools(concepts.join(primary.select("doc"), "doc", "left_anti").select("doc", "score"), facets, filters)
+    order = Window.partitionBy("pool").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "doc")
+    cut = alike.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("doc", "pool")
+    rest = pools(primary.select("doc").unionByName(full_text.select("doc")), facets, filters)
+    return cut.unionByName(rest.select("doc", "pool")).distinct()
+
+
 def score_order() -> list[Column]:
     return [-F.round("score", SCORE_DIGITS), F.col("doc")]

@@ -569,6 +569,19 @@ def facet_counts_all_segments(spark, sf_dir):
     return facets.disjunctive_counts(found.select("doc"), document_facets(documents(spark, sf_dir)), FILTERS)
 
 
+@register(f"""WITH {WEIGHTED}, {FULL}, {FACETS}, {sql_search({0: parse(NARROW, NO_GROUPS)})}, {sql_mentions(parse(AND, NO_GROUPS)[0])}, {SQL_CONCEPT},
+    flags AS (SELECT doc, unnest(list_filter([CASE WHEN size = 'medium' AND lang IN ('en', 'fr') THEN '' END, CASE WHEN size = 'medium' THEN 'lang' END, CASE WHEN lang IN ('en', 'fr') THEN 'size' END], lambda x: x IS NOT NULL)) AS pool FROM docs),
+    alike AS (SELECT doc, pool FROM concept ANTI JOIN scores USING (doc) JOIN flags USING (doc) WHERE qid = 0 AND cos > 0.12 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(cos, 9) DESC, doc) <= 400),
+    members AS (SELECT * FROM alike UNION SELECT doc, pool FROM (SELECT doc FROM scores UNION SELECT doc FROM mentioned) JOIN flags USING (doc))
+    SELECT kind, key, label, count(*) AS n FROM facets JOIN members USING (doc) WHERE pool = CASE WHEN kind IN ('lang', 'size') THEN kind ELSE '' END GROUP BY kind, key, label""")
+def facet_counts_hybrid(spark, sf_dir):
+    """Disjunctive counts in hybrid mode, where every active kind has a tail of its own."""
+    vecs, own = vector_docs(spark, sf_dir), document_facets(documents(spark, sf_dir))
+    first, tail = search.lexical(primary(spark, sf_dir), parse(NARROW, NO_GROUPS)), search.mention_tail(full_text(spark, sf_dir), parse(AND, NO_GROUPS))
+    query = [float(x) for x in vecs.filter("doc = 0").first()["vec"]]
+    return facets.pooled_counts(search.hybrid_pools(first, vectors.concept_scores(vecs, query), tail, own, FILTERS), own, FILTERS)
+
+
 @register("""WITH s AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(x)))) AS m FROM embeddings)
     SELECT vec_id AS doc, array_to_string(list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::DOUBLE * 127 / m::DOUBLE, 0)))::TINYINT), ',') AS vec FROM embeddings, s""")
 def vectors_quantised(spark, sf_dir):
@@ -592,7 +605,8 @@ MINE_SQL = f"""{DOCS}, spread AS (SELECT DISTINCT doc, unnest(regexp_extract_all
 
 @register(f"WITH {MINE_SQL} SELECT doc, query FROM mined")
 def known_item_mine(spark, sf_dir):
-    return evaluate.rarest_words(documents(spark, sf_dir), "doc", text.plain_tokens(F.col("summary")))
+    said = evaluate.known_item_text(F.col("summary"), F.col("source"))
+    return evaluate.rarest_words(documents(spark, sf_dir), "doc", text.plain_tokens(said))
 
 
 @register("""WITH placed AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)

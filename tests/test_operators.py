@@ -242,6 +242,27 @@ def test_addresses(spark):
     assert [r.u.startswith("http://archive/") for r in old] == [r[1] < 2022 for r in rows]
 
 
+def test_every_pool_has_its_own_tail(spark):
+    docs = spark.createDataFrame([(i, ["en", "fr"][i % 2], ["s", "m", "l"][i % 3]) for i in range(60)], "doc int, lang string, size string")
+    own = facets.facet_docs(docs, "doc", {"lang": F.col("lang"), "size": F.col("size")})
+    first, tail = docs.filter("doc < 6"), docs.filter("doc in (7, 58, 59)")
+    scored = docs.select("doc", (F.lit(1.0) - F.col("doc") / 100).alias("score"))
+    filters = {"lang": ["en"], "size": ["m"]}
+    found = {}
+    for r in search.hybrid_pools(first, scored, tail, own, filters, k=4).collect():
+        found.setdefault(r.pool, set()).add(r.doc)
+    tests = {"": lambda i: i % 2 == 0 and i % 3 == 1, "lang": lambda i: i % 3 == 1, "size": lambda i: i % 2 == 0}
+    for pool, fits in tests.items():
+        alike = [i for i in range(6, 60) if fits(i)][:4]
+        assert found[pool] == {i for i in [*range(6), *alike, 7, 58, 59] if fits(i)}
+    counts = {(r.kind, r.label): r.n for r in facets.pooled_counts(search.hybrid_pools(first, scored, tail, own, filters, k=4), own, filters).collect()}
+    assert counts["size", "l"] == sum(i % 3 == 2 for i in found["size"])
+    plain = search.hybrid_pools(first, scored, tail, own, None, k=4)
+    assert {(r.doc, r.pool) for r in plain.collect()} == {(i, "") for i in [*range(10), 58, 59]}
+    said = spark.createDataFrame([("", "p"), (None, "q"), ("s", "p"), (None, None)], "s string, p string")
+    assert [r.t for r in said.select(evaluate.known_item_text(F.col("s"), F.col("p")).alias("t")).collect()] == ["p", "q", "s", ""]
+
+
 def test_facet_panel_keeps_what_is_selected(spark):
     rows = [("technique", f"t{i}", f"t{i}", 20 - i) for i in range(20)] + [("year", str(y), str(y), 1) for y in (2019, 2021, 2020)]
     counted = spark.createDataFrame(rows, "kind string, label string, key string, n long")
