@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+        folder = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
