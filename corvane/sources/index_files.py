@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,7 +69,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 @functools.cache
 def _own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='corvane-index-')}"
+    folder = tempfile.mkdtemp(prefix="corvane-index-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def version_of(spark: SparkSession, path: str) -> str:
