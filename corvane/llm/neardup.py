@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Stored, parallel, parts, reclaim, store
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, fingerprint_links, wide_masks
 
 #: Documents among which common shingles are counted, how many of these make a shingle common, and how many shingles are kept.
 SAMPLE = 10_000
@@ -24,6 +24,9 @@ KEPT_SETS = 1 << 19
 #: Members of a meeting that are compared in one place, about.
 BLOCK, STRIPE = 256, 4096
 SALTS = 64
+#: Differing bits up to which fingerprints are searched: from the one to the other, by how many fingerprints a mask may bring together on average.
+RADIUS, MOST_RADIUS = 2, 8
+CODES = 64
 
 
 def shingles(text: str | None, words_each: int) -> np.ndarray:
@@ -120,6 +123,29 @@ def _digests(words_each: int, similarity: float, common: np.ndarray):
     return run
 
 
+def search_radius(n: int) -> int:
+    """The largest radius, within bounds, whose masks leave at most CODES of n fingerprints in one place on average."""
+    fit = [r for r in range(RADIUS + 1, MOST_RADIUS + 1) if n <= CODES << min(m.bit_count() for m in wide_masks(r))]
+    return max(fit, default=RADIUS)
+
+
+def _near_prints(unique: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents whose fingerprints are connected by links within the search radius.
+
+    Of its links each fingerprint keeps two, to the nearest and to the smallest other one, so that a
+    dense group has two pairs a member; documents of one fingerprint are paired with the smallest id among them.
+    """
+    radius = search_radius(unique.count())
+    codes = store(unique.groupBy("fp").agg(F.min("id").alias("least")), "codes")
+    links = fingerprint_links(codes, radius, "fp", wide_masks(radius) if radius > RADIUS else None)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far"), "b")
+    kept = both.groupBy("a").agg(F.array(F.min(far)["b"], F.min("b")).alias("others")).select(F.col("a").alias("fp"), F.explode("others").alias("other"))
+    named = kept.join(codes, "fp").select("least", F.col("other").alias("fp")).join(codes.withColumnRenamed("least", "id"), "fp").select("least", "id")
+    same = unique.join(codes, "fp").filter("id <> least").select("least", "id")
+    return named.unionByName(same).select(F.least("least", "id").alias("a"), F.greatest("least", "id").alias("b")).distinct()
+
+
 def _meetings(prints: DataFrame) -> DataFrame:
     """Rows (key, set): sets that share a prefix shingle share a key, and no more keys than there are different meetings.
 
@@ -243,14 +269,18 @@ def _across(members: DataFrame, unique: DataFrame, roots: DataFrame, similarity:
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (id, component_id) of all documents: component_id is the smallest id of the group.
 
-    Documents with equal sets of word shingles are one from the start. The others meet at the
-    shingles of their prefixes, as every pair of the least similarity does. First each is
-    compared with two of every such meeting: the smallest id, and the one nearest to the majority of the meeting's
-    SimHash bits, which is the text that the others were made from if there is one; that
+    Documents with equal sets of word shingles are one from the start. The others are searched by
+    their SimHash fingerprints, as in `simhash`: under shared bit masks in a Gray-ordered index, up to the radius that is
+    selective for so many. Similar texts whose fingerprints differ in more bits, as they may, are the rest: they meet at
+    the shingles of their prefixes, as every pair of the least similarity does, and are compared as far as
+    the fingerprints haven't joined them.
+
+    There each member is first compared with two: the smallest id, and the one nearest to the majority of the
+    meeting's SimHash bits, which is the text that the others were made from if there is one; that
     costs two links a member, whatever the meeting's size. Where a meeting's members are of several groups
     after that, all its pairs of different groups are compared in blocks, and those whose sizes and parities leave
     the similarity possible by their texts. Links count if the sets' Jaccard similarity is at least `similarity`; the
-    groups are the connected components of all such links.
+    groups are the connected components of all such links, whatever the radius.
 
     Ids are integers; rows with a null id are left out, rows with one id are one document (the
     text of the least digest). Null and blank texts have no shingles, equal ones, and form one group.
@@ -268,28 +298,35 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     meetings = store(_meetings(prints), "meetings")
     stored.drop()
     reclaim(docs.sparkSession)
-    members = store(meetings.join(unique.select("set", "id", "fp", "size"), "set").select("key", "id", "fp", "size"), "members")
+    near = store(_possible_pairs(_near_prints(unique), unique, similarity), "near")
+    reclaim(docs.sparkSession)
+    known = connected_components(_confirmed(rows, unique, near, words_each, similarity))
+    reclaim(docs.sparkSession)
+    rooted = unique.join(known, unique["id"] == known["node"], "left").select("set", "id", "fp", "size", F.coalesce("root", "id").alias("root"))
+    members = store(meetings.join(rooted, "set").select("key", "id", "fp", "size", "root"), "members")
     ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)]
     majority = sum((F.shiftleft((F.col(f"b{k}") * 2 > F.col("m")).cast("long"), k) for k in range(1, 64)), (F.col("b0") * 2 > F.col("m")).cast("long"))
-    centres = members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least"), *ones).filter("m > 1").select("key", "least", majority.alias("centre"))
+    ends = [F.count("*").alias("m"), F.min(F.struct("id", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high")]
+    centres = members.groupBy("key").agg(*ends, *ones).filter("low <> high").select("key", "least", majority.alias("centre"))
     met = members.join(centres, "key")
-    far = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("far"), "id")
+    far = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("far"), F.struct("id", "root").alias("member"))
     # A large meeting in many tasks: with an exchange after it, the join above can be split.
     salted = met.withColumn("salt", F.pmod("id", F.lit(SALTS))).repartition(parallel(docs), "key", "salt")
     dealt = salted.groupBy("key", "salt").agg(F.min(far).alias("near"))
-    nearest = dealt.groupBy("key").agg(F.min("near")["id"].alias("middle"))
-    links = met.join(nearest, "key").select("id", F.explode(F.array("least", "middle")).alias("other")).filter("id <> other")
-    pairs = links.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    nearest = dealt.groupBy("key").agg(F.min("near")["member"].alias("middle"))
+    links = met.join(nearest, "key").select("id", "root", F.explode(F.array("least", "middle")).alias("other")).filter("root <> other.root")
+    pairs = links.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
     pairs = store(_possible_pairs(pairs, unique, similarity), "pairs")
     reclaim(docs.sparkSession)
-    edges = store(_confirmed(rows, unique, pairs, words_each, similarity), "edges")
+    linked = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    edges = store(_confirmed(rows, unique, pairs, words_each, similarity).unionByName(linked(known)), "edges")
     reclaim(docs.sparkSession)
     roots = connected_components(edges)
     further = store(_across(members, unique, roots, similarity).join(pairs, ["a", "b"], "left_anti"), "further")
     reclaim(docs.sparkSession)
     further = store(_possible_pairs(further, unique, similarity), "further")
     more = _confirmed(rows, unique, further, words_each, similarity)
-    edges = store(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "edges")
+    edges = store(more.unionByName(linked(roots)), "edges")
     reclaim(docs.sparkSession)
     roots = connected_components(edges)
     return heads.join(roots, heads["head"] == roots["node"], "left").groupBy("id").agg(F.min(F.coalesce("root", "head")).alias("component_id"))

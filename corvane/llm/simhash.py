@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,12 @@ def _masks(radius: int) -> list[int]:
     return masks
 
 
+def wide_masks(radius: int) -> list[int]:
+    """Fewer and shorter masks for a larger radius: of radius + 2 blocks, two codes within it agree on two."""
+    blocks = [sum(1 << b for b in range(i * 64 // (radius + 2), (i + 1) * 64 // (radius + 2))) for i in range(radius + 2)]
+    return [a | b for a, b in combinations(blocks, 2)]
+
+
 def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, codes = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -182,16 +189,18 @@ def _linked(radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, col: str = "fp") -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 2, col: str = "fp", masks: list[int] | None = None) -> DataFrame:
     """Rows (a, b) of different fingerprints; two within the radius are connected by them.
 
+    masks: other bit masks than the usual ones, of which two codes within the radius agree on one.
+
     Each distinct code goes to the partition of every mask it must share with a partner,
     where a Gray index finds the pairs. Of a partition's links a spanning forest is kept,
     so that a dense group costs one row a code. Null codes are ignored.
     """
     distinct = fps.select(F.col(col).cast("long").alias("code")).dropna().distinct()
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(_masks(radius))])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks or _masks(radius))])
     dealt = distinct.select(F.explode(keys).alias("key"), "code").repartition(parallel(fps), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_linked(radius), "a long, b long").distinct()
 

@@ -144,6 +144,64 @@ def test_mutual_copies_without_an_original(spark):
     assert 3 <= len(set(roots.values())) < 150
 
 
+def test_wide_masks_meet():
+    rng = np.random.default_rng(3)
+    for radius in range(3, 9):
+        masks = simhash.wide_masks(radius)
+        for _ in range(300):
+            a = int(rng.integers(0, 1 << 62))
+            b = a ^ sum(1 << int(k) for k in rng.choice(64, radius, replace=False))
+            assert any(a & m == b & m for m in masks)
+    assert [neardup.search_radius(n) for n in (0, 10**4, 10**7, 10**11)] == [8, 8, 5, 2]
+
+
+def test_links_of_a_larger_radius(spark):
+    rng = np.random.default_rng(7)
+    codes = [int(c) for c in rng.integers(0, 1 << 63, 40)]
+    codes += [c ^ sum(1 << int(k) for k in rng.choice(64, 2 + i % 9, replace=False)) for i, c in enumerate(codes)]
+    codes = [c - (1 << 64) if c >> 63 else c for c in codes]
+    near = [(a, b) for a in codes for b in codes if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 8]
+    links = simhash.fingerprint_links(spark.createDataFrame([(c,) for c in codes], "fp long"), 8, masks=simhash.wide_masks(8)).collect()
+    assert roots_of(codes, [(r.a, r.b) for r in links]) == roots_of(codes, near)
+    assert len(near) >= 28
+
+
+def edited_copies():
+    """Texts with three copies each, of one to nine edits; and copies of whole sets of shingles."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (1, 3 + k % 3, 6 + k % 4):
+            own = list(words)
+            for _ in range(edits):
+                own[rng.randrange(300)] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_meet_by_fingerprints(spark, monkeypatch):
+    """Without meetings at shingles, similar texts within the search radius are joined, and no others; with them, all similar ones."""
+    rows = edited_copies()
+    sets = {i: neardup.shingles(t, 5) for i, t in rows}
+    prints = {i: neardup.simhash_of(s) for i, s in sets.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= neardup.search_radius(len(rows))}
+    sets = {i: frozenset(s.tolist()) for i, s in sets.items()}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 0.2 * len(similar) < len(near & similar) < len(similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = lambda: {r.id: r.component_id for r in neardup.near_duplicate_groups(docs).collect()}
+    every = roots_of(sorted(sets), similar)
+    assert groups() == every
+    none = spark.createDataFrame([], "key long, set long")
+    monkeypatch.setattr(neardup, "_meetings", lambda prints: none)
+    found = groups()
+    assert all(every[i] == every[root] for i, root in found.items())
+    assert sum(found[a] == found[b] for a, b in near & similar) >= 0.9 * len(near & similar)
+
+
 def test_near_duplicates_of_the_test_data(spark):
     """All groups that a comparison of all pairs gives, on the driver's documents: recall 1."""
     from collections import Counter
