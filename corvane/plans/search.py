@@ -95,7 +95,7 @@ def batch(index: Index, queries: DataFrame) -> DataFrame:
     stats = index.stats.first()
     n, avgdl = stats["n"], float(stats["avgdl"] or 1.0)
     terms = queries.select(F.col("word").alias("term")).distinct()
-    used = index.postings.join(terms, "term", "left_semi")
+    used = index.of(terms).postings
     df = index.vocabulary().join(terms, "term", "left_semi")
     known = queries.join(df, queries["word"] == df["term"])
     inverse = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
