@@ -58,3 +58,17 @@ def test_items(spark):
     rows = spark.createDataFrame(list(enumerate(given)), "i int, raw string")
     found = {r.i: [tuple(x) for x in r.x] for r in rows.selectExpr("i", "raw").withColumn("x", items_of(rows.raw)).collect()}
     assert found == {0: [("a", "core", ""), ("b", "core", "")], 1: [("c", "core", "")], 2: [("d", "core", "")], 3: [], 4: [], 5: [("e", "mentioned", "r")]}
+
+
+def test_grounding_of_blank_values(spark, tmp_path):
+    """Null is missing, blank is not: as in SQL."""
+    import itertools
+
+    import duckdb
+
+    values = ["", " ", "\n", None, "x"]
+    rows = [(i, *r, 1) for i, r in enumerate(itertools.product([*values, "é" * 120_001, "\0"], values, values))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.grounding(spark, str(tmp_path)), con, queries.SQL["grounding"])
