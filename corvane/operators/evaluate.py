@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .counting import counted
 from .places import cumulated, globally
 
 
@@ -61,14 +66,50 @@ def known_item_text(summary: Column, problem: Column) -> Column:
     return F.coalesce(F.nullif(summary, F.lit("")), problem, F.lit(""))
 
 
-def rarest_words(rows: DataFrame, doc: str, words: Column, most: int = 8, least: int = 3) -> DataFrame:
-    """(doc, query): the rarest different words of a text (by document frequency, then from the end of the alphabet)."""
-    spread = rows.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(words)).alias("term"))
-    df = spread.groupBy("term").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", F.desc("term")))
-    kept = spread.join(df, "term").withColumn("nth", nth).filter(F.col("nth") <= most)
-    listed = kept.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]).alias("terms"))
-    return listed.filter(F.size("terms") >= least).select("doc", F.array_join("terms", " ").alias("query"))
+def rarest_words(rows: DataFrame, doc: str, text: Column, most: int = 8, least: int = 3) -> DataFrame:
+    """(doc, query): the rarest different words of a text (by document frequency, then from the end of the alphabet).
+
+    Words are counted in blocks, which are dealt out by word for the frequencies and by chunk of documents for their words.
+    """
+    blocks = counted(rows, doc, [(text, 1)], joined=False).filter("term is not null")
+    known = blocks.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).select("chunk", "df", "term", "docs")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.repartition(parts, "chunk").sortWithinPartitions("chunk", "df", F.desc("term"))
+    return dealt.mapInArrow(_first_words(most, least), f"doc {rows.schema[doc].dataType.simpleString()}, query string")
+
+
+def _first_words(most: int, least: int):
+    """Of rows (chunk, df, term, docs), sorted: each document's first terms, if there are enough."""
+
+    def listed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        docs = pa.concat_arrays([p["docs"].flatten() for p in parts]).dictionary_encode()
+        sizes = np.concatenate([pc.list_value_length(p["docs"]).to_numpy(zero_copy_only=False) for p in parts])
+        own = docs.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(own, kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=len(docs.dictionary)))
+        begins = np.r_[0, ends[:-1]]
+        n = np.minimum(ends - begins, most)
+        kept = np.flatnonzero(n >= least)
+        place = np.repeat(begins[kept] - (np.cumsum(n[kept]) - n[kept]), n[kept]) + np.arange(n[kept].sum())
+        terms = pa.concat_arrays([p["term"] for p in parts]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[order[place]]))
+        words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[kept])], pa.int32()), terms)
+        return pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(kept)), pc.binary_join(words, " ")], ["doc", "query"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            chunk = batch.column(0).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+            for begin, end in zip(begins, [*begins[1:], len(chunk)], strict=True):
+                if parts and at != chunk[begin]:
+                    yield listed(parts)
+                    parts = []
+                at = chunk[begin]
+                parts.append(batch.slice(begin, end - begin))
+        if parts:
+            yield listed(parts)
+
+    return run
 
 
 def opening_words(text: Column, least: int = 12, most: int = 60) -> Column:

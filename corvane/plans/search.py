@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.facets import Filters, filtered, pools
 from ..operators.index import Index
 from ..operators.places import globally
+from . import every_word as in_groups
 from .query import Unit, words_of
 
 #: BM25's parameters, and where tails end.
@@ -107,6 +108,11 @@ def batch(index: Index, queries: DataFrame) -> DataFrame:
     return by_group.groupBy("qid", "doc").agg(F.max("score").alias("score"))
 
 
+def every_word(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, doc, score) of many queries (qid, words) for documents that have all words: k or more of the best of each; as `batch`, but by groups of documents."""
+    return in_groups.every_word(index, queries, k, K1, B, SCORE_DIGITS)
+
+
 def batch_ranked(scores: DataFrame, k: int) -> DataFrame:
     """(qid, doc, score, rank) of each query's k best."""
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "doc")

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import counting, index
+from corvane.operators import counting, evaluate, index
+from corvane.plans import every_word, search
 
 
 def exchanges(df) -> int:
@@ -50,3 +51,32 @@ def test_small_chunks_and_repeated_documents(spark, monkeypatch):
     given = pa.RecordBatch.from_pydict({"doc": ["d", "e", "f"], "t0": ["aa bb aa", "", "aa"], "m0": pa.array([["x"], [], []], pa.list_(pa.string()))})
     found = [r for b in batch(iter([given])) for r in b.to_pylist()]
     assert [(r["term"], r["chunk"] - (7 << 32), r["docs"], r["ws"]) for r in found] == [("aa", 0, ["d"], [2]), ("bb", 0, ["d"], [1]), ("x", 0, ["d"], [1]), (None, 0, ["d"], [4]), ("aa", 1, ["f"], [1]), (None, 1, ["e", "f"], [0, 1])]
+
+
+def test_queries_for_every_word_meet_groups_of_documents(spark, monkeypatch):
+    """The same ranking as by the postings of all words, from many small groups, in rows that don't grow with the pairs."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 38]) for _ in range(rng.randint(0, 30)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(5)
+    own = index.full_text_index(docs, "doc", "text")
+    asked = spark.createDataFrame([(i, rng.sample([*words, "none"], rng.randint(1, 4))) for i in range(300)], "qid long, words array<string>")
+    exploded = asked.select("qid", F.size("words").alias("units"), F.posexplode("words").alias("unit", "word"))
+    plain = exploded.select("qid", F.lit(0).alias("grp"), "unit", "units", F.lit(0).alias("spelling"), F.lit(1).alias("words"), "word", F.lit(1).alias("times"), F.lit(1.0).alias("weight"))
+    ranks = lambda scores: sorted((r.qid, r["rank"], r.doc, round(r.score, 9)) for r in search.batch_ranked(scores, 5).collect())
+    expected = ranks(search.batch(own, plain))
+    assert len(expected) > 500
+    for size, pairs in ((1 << 14, 1 << 20), (100, 50)):
+        monkeypatch.setattr(every_word, "DOCS_EACH", size)
+        monkeypatch.setattr(every_word, "PAIRS_EACH", pairs)
+        found = search.every_word(own, asked, 5)
+        assert ranks(found) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "doc#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)  # no (query, document) is shuffled
+
+
+def test_rarest_words(spark):
+    rows = [(1, "b a. cc dd cc ee"), (2, "cc dd"), (3, "ff ff cc dd gg"), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    assert sorted(map(tuple, evaluate.rarest_words(docs, "doc", F.col("text")).collect())) == [(1, "ee dd cc"), (3, "gg ff dd cc")]
+    assert sorted(map(tuple, evaluate.rarest_words(docs, "doc", F.col("text"), most=2, least=2).collect())) == [(1, "ee dd"), (2, "dd cc"), (3, "gg ff")]
