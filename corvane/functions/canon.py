@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import COUNTRY_LABEL, DOMAIN_VILLAGE, GENERIC, JUNK, KEEP_UPPER, NOT_TEAMS, OLD_TRACK, REGION_LABEL, RULES, SECTION_LABEL, VILLAGES
-from .text import normal_name, slug, text_of
+from .text import let, normal_name, slug, text_of
 
 TAIL_KINDS = ("molecule", "technique", "part", "chassis")
 LEAST_RECORDS = 10
@@ -35,9 +35,12 @@ def titled(col: Column) -> Column:
 
 def canonical(kind: str, raw: Column) -> Column:
     """A name's label: null for junk, the first rule's label, or else the name tidied."""
-    name = normal_name(raw)
-    junk = (name == "") | (F.length(name) > LONGEST_NAME) | name.rlike(JUNK) | name.isin(*sorted(GENERIC.get(kind, {""})))
-    return F.when(~junk, F.coalesce(first_rule(name, RULES.get(kind, [])), titled(name)))
+
+    def label(name: Column) -> Column:
+        junk = (name == "") | (F.length(name) > LONGEST_NAME) | name.rlike(JUNK) | name.isin(*sorted(GENERIC.get(kind, {""})))
+        return F.when(~junk, F.coalesce(first_rule(name, RULES.get(kind, [])), titled(name)))
+
+    return let(normal_name(raw), label)
 
 
 def curated(kind: Column, label: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonical, is_junk_name
 from ..functions.fixed import NOT_TEAMS
-from ..functions.text import model_name, part_code, part_slug, strip, text_of
+from ..functions.text import let, model_name, part_code, part_slug, strip, text_of
 
 ITEM = "struct<name:string,importance:string,role:string>"
 ITEMS = f"array<{ITEM}>"
@@ -43,7 +43,9 @@ def items_of(raw: Column) -> Column:
     stripped = strip(text_of(raw))
 
     def item(x: Column) -> Column:
-        bare = _string(x)
+        return let(_string(x), lambda bare: named(x, bare))
+
+    def named(x: Column, bare: Column) -> Column:
         given = lambda key, default: F.coalesce(F.nullif(F.try_variant_get(x, f"$.{key}", "string"), F.lit("")), F.lit(default))
         importance = F.when(bare.isNotNull(), "core").otherwise(F.lower(given("importance", "mentioned")))
         role = F.when(bare.isNotNull(), "").otherwise(given("role", ""))

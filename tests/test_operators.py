@@ -1,6 +1,7 @@
 """Operators by known answers and by brute force."""
 
 import difflib
+import functools
 import random
 
 import numpy as np
@@ -272,3 +273,13 @@ def test_facet_panel_keeps_what_is_selected(spark):
     assert sum(k[0] == "technique" for k in shown) == 17
     plain = facets.shown(counted)
     assert plain.filter("kind = 'technique'").count() == 14
+
+
+def test_a_name_is_made_normal_once(spark):
+    """However many rules it is tried by: records of many items cost in proportion to the items alone."""
+    from corvane.functions import canon
+
+    names = spark.createDataFrame([(["gibson assembly", "x"],)], "names array<string>")
+    for kind in canon.RULES:
+        plan = names.select(F.transform("names", functools.partial(canon.canonical, kind)).alias("labels"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[_/,;:]+") == 1
